@@ -11,11 +11,14 @@ a deployment sizes with its input.
 from __future__ import annotations
 
 import os
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,3 +123,12 @@ def usable(docs: DataFrame, *columns: str) -> DataFrame:
     for c in ("doc_id", *columns):
         out = out.where(F.col(c).isNotNull())
     return out
+
+
+def send(spark: SparkSession, value):
+    """Broadcast a value whose class executors need not have; take it with received()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    return pickle.loads(sent.value)

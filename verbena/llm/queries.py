@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import langid, line_dedup, ngram_join, quality
 
 
 def _table(name: str):
@@ -50,8 +50,25 @@ SELECT docs, docs, n, n, n, 1.0::DOUBLE FROM m WHERE len(docs) > 1
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_documents(spark, sf_dir), _table("labels")(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join}
+    return {
+        "op1_ngram_join": op1_ngram_join,
+        "op6_language_id": op6_language_id,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_quality": op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

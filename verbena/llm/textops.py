@@ -21,11 +21,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (the public splitmix64 one)."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    t = x >> np.uint64(30)
+    x ^= t
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
     return x
 
 
@@ -62,6 +65,14 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of a string column; nulls are empty strings."""
+    raw, _ = string_bytes(column)
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(column), 0), dtype=np.int64)
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    return points, np.concatenate(([0], np.cumsum(sizes)))
+
+
 def lower(column: pa.Array) -> pa.Array:
     """Lower case by code point."""
     return pc.utf8_lower(column)
@@ -88,7 +99,10 @@ def spans(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.nd
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = 1 << 22) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
+    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand.
+
+    Starts and ends must both be in ascending order.
+    """
     out = np.empty(len(start), dtype=np.uint64)
     i = 0
     while i < len(start):
