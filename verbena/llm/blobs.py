@@ -51,6 +51,23 @@ def split(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))))
 
 
+class Gather:
+    """Arrays collected over sub-batches until about limit entries are there, so that blobs don't get too small."""
+
+    def __init__(self, limit: int):
+        self.limit, self.parts, self.size = limit, [], 0
+
+    def add(self, *arrays: np.ndarray) -> bool:
+        self.parts.append(arrays)
+        self.size += len(arrays[0])
+        return self.size >= self.limit
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(a) for a in zip(*self.parts)]
+        self.parts, self.size = [], 0
+        return out
+
+
 def rows(schema: pa.Schema, values: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*values), schema)] if values else [pa.array([], type=f.type) for f in schema], schema=schema)
 
@@ -76,6 +93,15 @@ def unpack_keys(cell: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit counts as four byte planes: the high ones are mostly zeros, which the shuffle's compression drops."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(cell: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(cell, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indexes of the concatenated ranges [start, start + count)."""
     total = int(counts.sum())

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, ngram_join, quality
+from . import hamming_search, langid, line_dedup, ngram_join, packing, quality
 
 
 def _table(name: str):
@@ -26,11 +26,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
   FROM w
 ), s AS (
   SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS sig FROM g GROUP BY doc_id
@@ -50,6 +50,27 @@ SELECT docs, docs, n, n, n, 1.0::DOUBLE FROM m WHERE len(docs) > 1
 """
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.top_k(_table("embeddings")(spark, sf_dir))
+
+
+OP5_SQL = """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (
+  SELECT a.vec_id, b.vec_id AS neighbour_id,
+         list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END))::INTEGER AS distance
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id
+), r AS (
+  SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id))::INTEGER AS rank, neighbour_id, distance FROM d
+)
+SELECT vec_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -65,6 +86,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op4_packing": op4_packing,
+        "op5_hamming_top_k": op5_hamming_top_k,
         "op6_language_id": op6_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
@@ -72,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op5_hamming_top_k": OP5_SQL}

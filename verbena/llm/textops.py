@@ -118,6 +118,18 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, window: int
     return mix64(out)
 
 
+def word_counts(column: pa.Array) -> np.ndarray:
+    """The number of words of each row."""
+    raw, offsets = string_bytes(column)
+    black = ~_SPACE[raw]
+    first = black.copy()
+    first[1:] &= ~black[:-1]
+    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[starts] = black[starts]
+    total = np.concatenate(([0], np.cumsum(first, dtype=np.int64)))
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-case word, offsets of the rows' words)."""
     raw, offsets = string_bytes(lower(column))
