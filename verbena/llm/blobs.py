@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUB_BATCH_BYTES = 4 << 20
+SUB_BATCH_BYTES = 1 << 20
 
 
 def parts_of(spark: SparkSession, times: float = 1.0, least: int = 4) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import by_part, cut, parts_of, ragged, rows, split, sub_batches, usable
+from .blobs import Gather, by_part, cut, parts_of, ragged, rows, split, sub_batches, usable
 from .pairs import components, distinct_pairs, pair_blobs, pairs_of_runs, run_bounds, verify
 from .textops import code_points, lower, mix64, span_hashes
 
@@ -114,21 +114,26 @@ def line_ids(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return (span_hashes(points, start, end) >> np.uint64(1)).astype(np.int64)
 
 
-def _bands(parts: int):
+def _bands(parts: int, flush: int = 500_000):
     schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 
+    def blobs(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order, bounds = split((keys % np.uint64(parts)).astype(np.int64), parts)
+        keys, ids = keys[order] >> np.uint64(8), ids[order]
+        return rows(schema, [(p, keys[a:b].tobytes(), ids[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Gather(flush)
         for batch in sub_batches(batches, "text"):
             points, start, end, _, _ = lines_of(batch.column("text"))
             ids, first = np.unique(line_ids(points, start, end), return_index=True)
-            start, end = start[first], end[first]
-            order = np.argsort(start)
-            ids, start, end = ids[order], start[order], end[order]
+            order = np.argsort(first)
+            ids, start, end = ids[order], start[first[order]], end[first[order]]
             keys = band_keys(signatures(*shingles(points, start, end), len(ids)))
-            ids = np.repeat(ids, keys.shape[1])
-            keys = keys.reshape(-1)
-            order, bounds = split((keys % np.uint64(parts)).astype(np.int64), parts)
-            yield rows(schema, [(p, (keys[o] >> np.uint64(8)).tobytes(), ids[o].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a for o in [order[a:b]]])
+            if held.add(keys.reshape(-1), np.repeat(ids, keys.shape[1])):
+                yield blobs(*held.take())
+        if held.size:
+            yield blobs(*held.take())
 
     return run
 
