@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import by_part, cut, pack_ids, pack_keys, parts_of, ragged, rows, split, sub_batches, unpack_ids, unpack_keys, usable
-from .pairs import components, distinct_pairs, pair_blobs, pairs_of_runs, run_bounds, verify
+from .blobs import Gather, by_part, cut, pack_ids, pack_keys, parts_of, planes, ragged, rows, split, sub_batches, unpack_ids, unpack_keys, unplanes, usable
+from .pairs import BROADCAST_ROWS, components, distinct_pairs, pair_blobs, run_bounds, verify
 from .textops import mix64, ngrams, words
 
 NGRAM, THRESHOLD, WIDTH = 3, 0.5, 5
@@ -54,24 +54,27 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def _emit(n: int, parts: int):
+def _emit(n: int, parts: int, flush: int = 1_000_000):
+    def blobs(grams: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(ids, kind="stable")
+        grams, ids = grams[order], ids[order]
+        order, bounds = split(((grams & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64), parts)
+        grams, ids = grams[order] >> np.uint64(24), ids[order]
+        out = []
+        for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if b > a:
+                start, count = run_bounds(ids[a:b])
+                out.append((p, pack_ids(ids[a:b][start]), planes(count), pack_keys(grams[a:b], WIDTH)))
+        return rows(_TOKENS, out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Gather(flush)
         for batch in sub_batches(batches, "text"):
-            ids = np.asarray(batch.column("doc_id"))
-            order = np.argsort(ids, kind="stable")
-            if not np.array_equal(order, np.arange(len(ids))):
-                batch, ids = batch.take(pa.array(order)), ids[order]
             grams, row = ngrams(*words(batch.column("text")), n)
-            part = ((grams & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
-            order, bounds = split(part, parts)
-            grams, row = grams[order] >> np.uint64(24), row[order]
-            out = []
-            for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                if b > a:
-                    start, count = run_bounds(row[a:b])
-                    out.append((p, pack_ids(ids[row[a:b][start]]), count.astype(np.uint32).tobytes(), pack_keys(grams[a:b], WIDTH)))
-            if out:
-                yield rows(_TOKENS, out)
+            if held.add(grams, np.asarray(batch.column("doc_id"))[row]):
+                yield blobs(*held.take())
+        if held.size:
+            yield blobs(*held.take())
 
     return run
 
@@ -81,7 +84,7 @@ def _frequencies(parts: int):
 
     def reduce(table: pa.Table) -> pa.Table:
         origin = table["part"][0].as_py()
-        docs = np.concatenate([np.repeat(unpack_ids(d.as_py()), np.frombuffer(c.as_py(), dtype=np.uint32)) for d, c in zip(table["docs"], table["counts"])])
+        docs = np.concatenate([np.repeat(unpack_ids(d.as_py()), unplanes(c.as_py())) for d, c in zip(table["docs"], table["counts"])])
         tokens = np.concatenate([unpack_keys(c.as_py(), WIDTH) for c in table["tokens"]])
         order = np.argsort(docs, kind="stable")
         docs, tokens = docs[order], tokens[order]
@@ -91,11 +94,12 @@ def _frequencies(parts: int):
         new[1:] = (tokens[1:] != tokens[:-1]) | (docs[1:] != docs[:-1])
         docs, tokens = docs[new], tokens[new]
         _, count = run_bounds(tokens)
-        df = np.repeat(count, count)
-        del order, new
-        rank = np.minimum(255, (16 * np.log2(df)).astype(np.int64)).astype(np.uint8)
+        # a shared gram is known by its place among the part's grams from now on
+        tokens = np.repeat(np.arange(len(count)), count)
+        rank = np.minimum(255, (16 * np.log2(count)).astype(np.int64)).astype(np.uint8)[tokens]
+        shared = (count > 1)[tokens]
         order = np.argsort(docs, kind="stable")
-        docs, tokens, rank, shared = docs[order], tokens[order], rank[order], (df > 1)[order]
+        docs, tokens, rank, shared = docs[order], tokens[order], rank[order], shared[order]
         start, count = run_bounds(docs)
         ids = docs[start]
         many = np.add.reduceat(shared.astype(np.int64), start) if len(start) else count
@@ -108,23 +112,27 @@ def _frequencies(parts: int):
             if b > a:
                 own = where[a:b]
                 take = ragged(at[own], many[own])
-                out.append((p, pack_ids(ids[own]), lone[own].astype(np.uint32).tobytes(), many[own].astype(np.uint32).tobytes(), pack_keys(tokens[take], WIDTH), rank[take].tobytes(), origin))
+                out.append((p, pack_ids(ids[own]), planes(lone[own]), planes(many[own]), planes(tokens[take]), rank[take].tobytes(), origin))
         return pa.Table.from_batches([rows(_BACK, out)])
 
     return reduce
 
 
-def _assemble(threshold: float):
+def gram_bytes(parts: int) -> int:
+    """Bytes of a shared gram: 4 for its place in its part, and those of the part's number."""
+    return 4 + max(1, -(-(parts - 1).bit_length() // 8))
+
+
+def _assemble(threshold: float, width: int):
     """One part's documents -> size, grams in the global order; those that can't match are left out."""
 
     def reduce(table: pa.Table) -> pa.Table:
         ids, lone, many, tokens, ranks = [], [], [], [], []
         for r in table.to_pylist():
             ids.append(unpack_ids(r["docs"]))
-            lone.append(np.frombuffer(r["lone"], dtype=np.uint32).astype(np.int64))
-            many.append(np.frombuffer(r["counts"], dtype=np.uint32).astype(np.int64))
-            keys = unpack_keys(r["tokens"], WIDTH)
-            tokens.append(mix64(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r["origin"])))
+            lone.append(unplanes(r["lone"]).astype(np.int64))
+            many.append(unplanes(r["counts"]).astype(np.int64))
+            tokens.append(unplanes(r["tokens"]).astype(np.uint64) + np.uint64(r["origin"] << 32))
             ranks.append(np.frombuffer(r["ranks"], dtype=np.uint8))
         ids, lone, many = np.concatenate(ids), np.concatenate(lone), np.concatenate(many)
         tokens, ranks = np.concatenate(tokens), np.concatenate(ranks)
@@ -146,8 +154,8 @@ def _assemble(threshold: float):
                 "doc_id": pa.array(doc[live], pa.int64()),
                 "size": pa.array(size[live], pa.int64()),
                 "lone": pa.array(lone[live], pa.int64()),
-                "tokens": pa.array([tokens[at[k] : at[k + 1]].tobytes() for k in live], pa.binary()),
-                "prefix": pa.array([tokens[at[k] : at[k] + prefix[k] - lone[k]].tobytes() for k in live], pa.binary()) if len(live) else pa.array([], pa.binary()),
+                "first": pa.array((prefix - lone)[live], pa.int64()),
+                "tokens": pa.array([pack_keys(tokens[at[k] : at[k + 1]], width) for k in live], pa.binary()),
             }
         )
 
@@ -155,46 +163,46 @@ def _assemble(threshold: float):
 
 
 def members(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Members (id, docs, size, lone, tokens, prefix): documents of equal sets are one member."""
+    """Members (id, docs, size, lone, first, tokens): documents of equal sets are one member, first its shared grams in the prefix."""
     spark = docs.sparkSession
     parts, back = parts_of(spark, 2), parts_of(spark, 1)
     tokens = usable(docs, "text").mapInArrow(_emit(n, parts), "part int, docs binary, counts binary, tokens binary")
     shared = by_part(tokens, _frequencies(back), "part int, docs binary, lone binary, counts binary, tokens binary, ranks binary, origin int")
-    alive = by_part(shared, _assemble(threshold), "doc_id bigint, size bigint, lone bigint, tokens binary, prefix binary")
+    alive = by_part(shared, _assemble(threshold, gram_bytes(parts)), "doc_id bigint, size bigint, lone bigint, first bigint, tokens binary")
     alive = alive.withColumn("equal", F.when(F.col("lone") == 0, F.md5("tokens")).otherwise(F.col("doc_id").cast("string")))
     return cut(
         alive.groupBy("equal", "size").agg(
-            F.min("doc_id").alias("id"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.min("lone").alias("lone"), F.min("tokens").alias("tokens"), F.min("prefix").alias("prefix")
+            F.min("doc_id").alias("id"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.min("lone").alias("lone"), F.min("first").alias("first"), F.min("tokens").alias("tokens")
         ).drop("equal")
     )
 
 
-def _prefix_lists(parts: int):
+def _prefix_lists(parts: int, width: int):
     schema = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = [np.frombuffer(c.as_py(), dtype=np.uint64) for c in batch.column("prefix")]
+            cells = [unpack_keys(c.as_py(), width) for c in batch.column("prefix")]
             count = np.array([len(c) for c in cells], dtype=np.int64)
             tokens = np.concatenate(cells)
             ids = np.repeat(np.asarray(batch.column("group")), count)
             size = np.repeat(np.asarray(batch.column("size")), count)
             place = ragged(np.asarray(batch.column("lone")), count)
-            order, bounds = split((tokens % np.uint64(parts)).astype(np.int64), parts)
-            yield rows(schema, [(p, pack_ids(ids[o]), size[o].astype(np.uint32).tobytes(), place[o].astype(np.uint32).tobytes(), tokens[o].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a for o in [order[a:b]]])
+            order, bounds = split((mix64(tokens) % np.uint64(parts)).astype(np.int64), parts)
+            yield rows(schema, [(p, pack_ids(ids[o]), planes(size[o]), planes(place[o]), pack_keys(tokens[o], width)) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a for o in [order[a:b]]])
 
     return run
 
 
-def _group_pairs(parts: int, threshold: float, chunk: int = 2_000_000):
+def _group_pairs(parts: int, threshold: float, width: int, chunk: int = 2_000_000):
     """Inverted lists of one part -> group pairs that size and position allow."""
 
     def reduce(table: pa.Table) -> pa.Table:
         ids = np.concatenate([unpack_ids(c.as_py()) for c in table["ids"]])
-        size, place = (np.concatenate([np.frombuffer(c.as_py(), dtype=np.uint32) for c in table[k]]).astype(np.int64) for k in ("sizes", "places"))
-        tokens = np.concatenate([np.frombuffer(c.as_py(), dtype=np.uint64) for c in table["tokens"]])
+        size, place = (np.concatenate([unplanes(c.as_py()) for c in table[k]]).astype(np.int64) for k in ("sizes", "places"))
+        tokens = np.concatenate([unpack_keys(c.as_py(), width) for c in table["tokens"]])
         order = np.lexsort((size, tokens))
         ids, size, place, tokens = ids[order], size[order], place[order], tokens[order]
         start, count = run_bounds(tokens)
@@ -227,45 +235,41 @@ def _accept(threshold: float):
     def accept(table: pa.Table, i, j, overlap, _sizes):
         size = np.asarray(table["size"])
         jaccard = overlap / np.maximum(1, size[i] + size[j] - overlap)
-        return jaccard >= threshold - 1e-12, {"size_x": size[i], "size_y": size[j], "overlap": overlap, "jaccard": jaccard}
+        return jaccard >= threshold - 1e-12, {"size_a": size[i], "size_b": size[j], "overlap": overlap, "jaccard": jaccard}
 
     return accept
 
 
-def _sets(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(c.as_py(), dtype=np.uint64) for c in table["tokens"]]
+def _sets(width: int):
+    return lambda table: [unpack_keys(c.as_py(), width) for c in table["tokens"]]
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of documents with n-gram Jaccard of at least the threshold (see the module)."""
     spark = docs.sparkSession
-    parts = parts_of(spark, 0.25)
+    parts, width = parts_of(spark, 0.25), gram_bytes(parts_of(spark, 2))
     found = members(docs, n, threshold)
-    prefix_key = F.when(F.col("lone") == 0, F.md5("prefix")).otherwise(F.concat(F.lit("doc"), F.col("id").cast("string")))
-    grouped = found.withColumn("key", prefix_key)
+    prefix = F.expr(f"substring(tokens, 1, cast({width} * first AS int))")
+    prefix_key = F.when(F.col("lone") == 0, F.md5(prefix)).otherwise(F.concat(F.lit("doc"), F.col("id").cast("string")))
+    grouped = found.select("id", "size", "lone", prefix_key.alias("key"), prefix.alias("prefix"))
     groups = grouped.groupBy("key", "size").agg(F.min("id").alias("group"), F.sort_array(F.collect_list("id")).alias("ids"), F.min("lone").alias("lone"), F.min("prefix").alias("prefix"))
     groups = cut(groups.select("group", "ids", "size", "lone", "prefix"))
-    lists = groups.select("group", "size", "lone", "prefix").mapInArrow(_prefix_lists(parts), "part int, ids binary, sizes binary, places binary, tokens binary")
-    group_pairs = distinct_pairs(by_part(lists, _group_pairs(parts, threshold), "part int, a binary, b binary"))
+    lists = groups.select("group", "size", "lone", "prefix").mapInArrow(_prefix_lists(parts, width), "part int, ids binary, sizes binary, places binary, tokens binary")
+    group_pairs = distinct_pairs(by_part(lists, _group_pairs(parts, threshold, width), "part int, a binary, b binary"))
     own = groups.select("group", "ids")
+    if own.count() <= BROADCAST_ROWS:
+        own = F.broadcast(own)
     across = (
         group_pairs.join(own.select(F.col("group").alias("x"), F.col("ids").alias("xs")), "x")
         .join(own.select(F.col("group").alias("y"), F.col("ids").alias("ys")), "y")
         .select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
     )
-    inside = own.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), F.col("ids").alias("ys")).select("x", F.explode("ys").alias("y")).where(F.col("x") < F.col("y"))
+    inside = groups.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), F.col("ids").alias("ys")).select("x", F.explode("ys").alias("y")).where(F.col("x") < F.col("y"))
+    # an id is the smallest doc_id of its list
     candidates = cut(across.union(inside).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-    good = verify(candidates, found.select("id", "size", "tokens"), _sets, _accept(threshold), "x bigint, y bigint, size_x bigint, size_y bigint, overlap bigint, jaccard double")
-    lists_of = found.select("id", "docs")
-    near = (
-        good.join(lists_of.select(F.col("id").alias("x"), F.col("docs").alias("dx")), "x")
-        .join(lists_of.select(F.col("id").alias("y"), F.col("docs").alias("dy")), "y")
-        .select(
-            F.when(F.col("x") < F.col("y"), F.col("dx")).otherwise(F.col("dy")).alias("docs_a"), F.when(F.col("x") < F.col("y"), F.col("dy")).otherwise(F.col("dx")).alias("docs_b"),
-            F.when(F.col("x") < F.col("y"), F.col("size_x")).otherwise(F.col("size_y")).alias("size_a"), F.when(F.col("x") < F.col("y"), F.col("size_y")).otherwise(F.col("size_x")).alias("size_b"),
-            "overlap", "jaccard",
-        )
-    )
+    schema = "x bigint, y bigint, size_a bigint, size_b bigint, overlap bigint, jaccard double, docs_x array<bigint>, docs_y array<bigint>"
+    near = verify(candidates, found.select("id", "docs", "size", "tokens"), _sets(width), _accept(threshold), schema, carry=("docs",))
+    near = near.select(F.col("docs_x").alias("docs_a"), F.col("docs_y").alias("docs_b"), "size_a", "size_b", "overlap", "jaccard")
     same = found.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
     return near.union(same)
 

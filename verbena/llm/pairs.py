@@ -6,15 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import by_part, cut, pack_ids, parts_of, ragged, rows, split, unpack_ids
+from .blobs import by_part, cut, pack_ids, ragged, rows, split, unpack_ids
 from .textops import mix64
 
 _BLOB = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 BLOCK = 1024
+#: A side of two 64-bit columns is broadcast only while it has at most so many rows (8 MB).
+BROADCAST_ROWS = 500_000
 
 
 def pairs_of_runs(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +67,13 @@ def distinct_pairs(blobs: DataFrame) -> DataFrame:
     return by_part(blobs, reduce, "x bigint, y bigint")
 
 
-def verify(pairs: DataFrame, items: DataFrame, sets: Callable[[pa.Table], list[np.ndarray]], accept: Callable, schema: str, connect: bool = False) -> DataFrame:
+def verify(pairs: DataFrame, items: DataFrame, sets: Callable[[pa.Table], list[np.ndarray]], accept: Callable, schema: str, connect: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Verify candidate pairs exactly, moving each item about once a cluster.
 
     pairs: (x, y).  items: (id, ...), of which sets() makes the sorted distinct
     64-bit members of each row.  accept(table, i, j, overlap, sizes) gives a mask
-    and the columns of the result.  Every pair is checked; with connect, those
+    and the columns of the result; the items' columns named in carry come along as
+    <name>_x and <name>_y.  Every pair is checked; with connect, those
     whose items are already connected in their block are skipped, which leaves
     the components as they are.
 
@@ -83,11 +85,13 @@ def verify(pairs: DataFrame, items: DataFrame, sets: Callable[[pa.Table], list[n
     both = pairs.select(F.col("x").alias("id"), F.col("y").alias("o")).union(pairs.select(F.col("y"), F.col("x")))
     label = both.groupBy("id").agg(F.least(F.min("o"), F.col("id")).alias("label"))
     count = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
-    label = cut(label.join(count, "label").select("id", F.concat_ws(":", "label", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("block")))
+    label = cut(label.join(count, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("block")))
+    if label.count() <= BROADCAST_ROWS:
+        label = F.broadcast(label)
     placed = (
         pairs.join(label.select(F.col("id").alias("x"), F.col("block").alias("bx")), "x")
         .join(label.select(F.col("id").alias("y"), F.col("block").alias("by")), "y")
-        .select(F.concat_ws("|", F.least("bx", "by"), F.greatest("bx", "by")).alias("block"), "x", "y")
+        .select(F.when(F.col("bx") == F.col("by"), F.col("bx")).otherwise(F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by"))).alias("block"), "x", "y")
     )
     placed = cut(placed)
     needed = placed.select(F.col("block").alias("at"), F.explode(F.array("x", "y")).alias("id")).distinct()
@@ -128,7 +132,11 @@ def verify(pairs: DataFrame, items: DataFrame, sets: Callable[[pa.Table], list[n
             mark[own] = False
         i, j, overlap = i[keep], j[keep], overlap[keep]
         good, columns = accept(right, i, j, overlap, sizes)
-        return pa.table({"x": np.asarray(ids)[i[good]], "y": np.asarray(ids)[j[good]]} | {k: v[good] for k, v in columns.items()})
+        i, j = i[good], j[good]
+        out = {"x": ids[i], "y": ids[j]} | {k: v[good] for k, v in columns.items()}
+        for c in carry:
+            out |= {f"{c}_x": right[c].take(pa.array(i)), f"{c}_y": right[c].take(pa.array(j))}
+        return pa.table(out)
 
     return placed.groupBy("block").cogroup(shipped.groupBy("at")).applyInArrow(check, schema)
 
@@ -178,6 +186,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
-
-def hash_parts(spark) -> int:
-    return parts_of(spark, 0.25)
