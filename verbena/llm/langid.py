@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .blobs import ragged, received, send, sub_batches
 from .textops import lower, span_hashes, spans, string_bytes
 
-PER_LANGUAGE, LONGEST, MIN_MARGIN = 400, 5, 0.05
+PER_LANGUAGE, LONGEST, MIN_MARGIN = 250, 5, 0.05
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
