@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming_search, langid, line_dedup, ngram_join, packing, quality
+from . import hamming_search, langid, line_dedup, ngram_join, packing, quality, sentencepiece_codec, toxicity
 
 
 def _table(name: str):
@@ -50,6 +50,10 @@ SELECT docs, docs, n, n, n, 1.0::DOUBLE FROM m WHERE len(docs) > 1
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_documents(spark, sf_dir), _table("labels")(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -83,14 +87,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_documents(spark, sf_dir), _table("labels")(spark, sf_dir))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_toxicity": op2_toxicity,
         "op4_packing": op4_packing,
         "op5_hamming_top_k": op5_hamming_top_k,
         "op6_language_id": op6_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
