@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming_search, langid, line_dedup, ngram_join, packing, quality, sentencepiece_codec, toxicity
+from . import flac, hamming_search, langid, line_dedup, ngram_join, packing, quality, sentencepiece_codec, toxicity, warc_index
 
 
 def _table(name: str):
@@ -51,7 +51,29 @@ SELECT docs, docs, n, n, n, 1.0::DOUBLE FROM m WHERE len(docs) > 1
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.detect(_documents(spark, sf_dir), _table("labels")(spark, sf_dir))
+    # the documents found toxic; detect() scores all of them
+    return toxicity.detect(_documents(spark, sf_dir), _table("labels")(spark, sf_dir)).where("toxic")
+
+
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.captures(_table("pages")(spark, sf_dir))
+
+
+OP3_SQL = r"""
+WITH r AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), p AS (
+  SELECT page_id, html, lower(regexp_extract(rest, '^([^/?]*)', 1)) AS host, regexp_extract(rest, '^[^/?]*(.*)$', 1) AS tail FROM r
+), k AS (
+  SELECT page_id, html, array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '^www\.', ''), '.')), ',')
+    || ')' || CASE WHEN tail = '' THEN '/' ELSE tail END AS url_key FROM p
+)
+SELECT url_key, page_id, count(*) OVER (PARTITION BY url_key) AS captures, md5(html) AS html_md5, length(html)::BIGINT AS html_chars FROM k
+"""
+
+
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.decode_column(flac.media_of(_table("embeddings")(spark, sf_dir)))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +117,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_toxicity": op2_toxicity,
+        "op3_warc_index": op3_warc_index,
         "op4_packing": op4_packing,
         "op5_hamming_top_k": op5_hamming_top_k,
         "op6_language_id": op6_language_id,
+        "op7_flac": op7_flac,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality": op9_quality,
         "op10_sentencepiece": op10_sentencepiece,
@@ -105,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op5_hamming_top_k": OP5_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_warc_index": OP3_SQL, "op5_hamming_top_k": OP5_SQL}
