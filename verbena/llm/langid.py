@@ -147,15 +147,22 @@ def fit(texts: pa.Array, labels: list[str]) -> Model:
     languages = sorted(set(labels))
     code = np.array([languages.index(x) for x in labels], dtype=np.int64)
     raw, start, end, row = letters(texts)
-    keys = span_hashes(raw, start, end)
-    names, first, count = np.unique(keys, return_index=True, return_counts=True)
-    common = np.isin(keys, names[count >= 2])
     m = len(languages)
-    words = Table.of(keys[common], code[row[common]], np.ones(common.sum()), m, 0.1)
-    grams = {}
-    for k in range(1, LONGEST + 1):
-        hashes, word = char_ngrams(raw, start, end, k)
-        grams[k] = Table.of(hashes, code[row[word]], np.ones(len(hashes)), m, 0.5)
+    keys = span_hashes(raw, start, end)
+    names, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # the distinct words in ascending order of place
+    start, end, names = start[first[order]], end[first[order]], names[order]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    counts = np.bincount(place[which] * m + code[row], minlength=len(names) * m).reshape(-1, m)
+
+    def table(hashes: np.ndarray, word: np.ndarray, smooth: float) -> Table:
+        at, label = np.nonzero(counts[word])
+        return Table.of(hashes[at], label, counts[word[at], label], m, smooth)
+
+    common = np.flatnonzero(counts.sum(axis=1) >= 2)
+    words = table(names[common], common, 0.1)
+    grams = {k: table(*char_ngrams(raw, start, end, k), 0.5) for k in range(1, LONGEST + 1)}
     return Model(languages, words, grams)
 
 

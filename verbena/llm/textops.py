@@ -45,7 +45,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.full(size, base, dtype=np.uint64)
             out[0] = 1
             kept.append(np.multiply.accumulate(out))
-        np._verbena_powers = kept
+        if size <= 1 << 20:
+            np._verbena_powers = kept
     return kept[0][:n], kept[1][:n]
 
 
@@ -98,7 +99,7 @@ def spans(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.nd
     return start, end, row
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = 1 << 22) -> np.ndarray:
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand.
 
     Starts and ends must both be in ascending order.

@@ -11,6 +11,10 @@ from .reshape import MAX_NAMES
 from .selection import resolve
 
 
+def _field(name: str):
+    return lambda record: record.getField(name)
+
+
 class Nesting:
     def nest(self, **new):
         """nest(name=selection, ...): the selected columns of each combination of the others as a list of records."""
@@ -72,7 +76,7 @@ class Nesting:
             if isinstance(kind, T.StructType):
                 cells = [x.getField(f.name).alias(label(int(f.name[1:]) if f.name.startswith("_") and f.name[1:].isdigit() else f.name)) for f in kind.fields]
             elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-                cells = [F.transform(x, lambda e, f=f: e.getField(f.name)).alias(label(f.name)) for f in kind.elementType.fields]
+                cells = [F.transform(x, _field(f.name)).alias(label(f.name)) for f in kind.elementType.fields]
             elif isinstance(kind, T.MapType):
                 keys = names
                 if keys is None:
