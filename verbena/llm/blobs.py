@@ -10,6 +10,7 @@ a deployment sizes with its input.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import pickle
 import uuid
@@ -30,6 +31,15 @@ def parts_of(spark: SparkSession, times: float = 1.0, least: int = 4) -> int:
     return max(least, round(times * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def trim() -> None:
+    """Give memory that the allocators hold unused back, so that a long-lived worker stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = SUB_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about limit bytes of the named column; a longer row stands alone, whole."""
     for batch in batches:
@@ -42,6 +52,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = SUB
             hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        trim()
 
 
 def split(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +122,12 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def by_part(df: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    return df.groupBy("part").applyInArrow(reduce, schema)
+    def run(table: pa.Table) -> pa.Table:
+        out = reduce(table)
+        trim()
+        return out
+
+    return df.groupBy("part").applyInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
