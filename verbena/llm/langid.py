@@ -145,6 +145,9 @@ class Model:
 def fit(texts: pa.Array, labels: list[str]) -> Model:
     """The model of labelled texts."""
     languages = sorted(set(labels))
+    if not languages:
+        bare = Table(np.zeros(0, dtype=np.uint64), np.zeros((0, 0), dtype=np.float32))
+        return Model([], bare, {k: bare for k in range(1, LONGEST + 1)})
     code = np.array([languages.index(x) for x in labels], dtype=np.int64)
     raw, start, end, row = letters(texts)
     m = len(languages)
