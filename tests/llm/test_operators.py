@@ -232,6 +232,19 @@ def test_packing(docs, none, corpus):
     assert got == brute_packs(rows, shards)
 
 
+def test_packing_over_shards(spark, corpus):
+    """A seed finds its neighbours in all shards, whatever their number and however short the lists are."""
+    rows = [(0, r.doc_id, words(r.text)) for r in corpus.select("doc_id", "text").collect()]
+    want = brute_packs(rows, 1)
+    whole = {(r.shard, r.pack): list(zip(r.doc_ids, r.starts, r.lengths)) for r in packing.pack(corpus, answers=1000).collect()}
+    assert whole == want
+    pairs = lambda packs: {(m[0], x) for m in packs.values() for x in m[1:]}
+    packs = packing.pack(corpus, index_units=30, answers=64).collect()
+    got = {(r.shard, r.pack): list(zip(r.doc_ids, r.starts, r.lengths)) for r in packs}
+    assert len(pairs(got) & pairs(want)) >= 0.9 * len(pairs(want))
+    assert sorted(x for m in got.values() for x in m) == sorted(x for m in want.values() for x in m)
+
+
 def test_hamming(spark):
     rng = np.random.RandomState(3)
     rows = [(i, rng.randn(24).tolist()) for i in range(120)] + [(200, None), (None, [1.0] * 24), (201, []), (202, [1.0, -1.0]), (203, [float("nan")] * 24), (5, [9.0] * 24)]
