@@ -174,6 +174,16 @@ def test_toxicity(spark, docs, none):
     assert len(low) == 400
 
 
+def test_toxicity_beyond_the_broadcast_bound(spark, corpus, data):
+    """The partitioned table scores as the broadcast one does; the order stays."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    d = corpus.union(spark.createDataFrame([(None, "nobody knows it", "en", "s", 1), (-1, None, None, "s", 0), (-2, "", "xx", "s", 0)], corpus.schema))
+    small, large = (sorted(toxicity.detect(d, labels, max_grams=n).collect(), key=key) for n in (4_000_000, 100))
+    assert [(r.doc_id, r.lang, r.toxic) for r in small] == [(r.doc_id, r.lang, r.toxic) for r in large]
+    assert np.allclose([r.score for r in small], [r.score for r in large], atol=1e-5)
+
+
 def test_grams_brute():
     table = toxicity._alphabet()
     texts = ["Ab c", "", None, "é--dog", "x"]

@@ -20,9 +20,9 @@ each context scores any text.  Scores of short texts are drawn to the centre
 (n / (n + 50) for n characters).  The held-out ordinary documents give the centre of
 each language and the threshold: the 0.993 quantile of their centred scores.
 
-The table is broadcast, so its size is checked: where it would pass max_grams,
-the order is lowered by one, exactly, as counts of shorter grams are sums of those
-of longer ones.
+The table is broadcast while the corpus has at most max_grams distinct grams.  Beyond,
+the same numbers are computed as a table partitioned by context, and the documents'
+grams are sent to its parts, which return each document's share of the sum.
 
 Result: doc_id, lang, score (centred), toxic, for every document.
 
@@ -40,11 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import Gather, cut, received, send, sub_batches
-from .textops import code_points, lower
+from .blobs import Gather, cut, parts_of, received, rows, send, split, sub_batches, trim
+from .textops import code_points, lower, mix64
 
 ORDER, DISCOUNT, QUANTILE, HELD_OUT, SHRINK, MAX_GRAMS, BROADCAST_LABELS = 4, 1.0, 0.993, 10, 50, 4_000_000, 4_000_000
 _BITS = 10
@@ -155,12 +156,17 @@ class Scores:
             todo, place = todo[on], (place[on] + np.uint64(1)) & np.uint64((1 << bits) - 1)
         return value, found
 
-    def score(self, column: pa.Array, alphabet: np.ndarray) -> np.ndarray:
-        gram, row = grams_of(column, alphabet, self.order)
+    def values(self, gram: np.ndarray) -> np.ndarray:
+        """The log ratio of each gram, of its context where the gram is new."""
         value, found = self._find(self.tables[0], gram)
         lost = np.flatnonzero(~found)
         if len(lost):
             value[lost] = self._find(self.tables[1], gram[lost] >> np.uint64(_BITS))[0]
+        return value
+
+    def score(self, column: pa.Array, alphabet: np.ndarray) -> np.ndarray:
+        gram, row = grams_of(column, alphabet, self.order)
+        value = self.values(gram)
         n = np.bincount(row, minlength=len(column))
         return np.bincount(row, weights=value, minlength=len(column)) / (n + SHRINK)
 
@@ -219,12 +225,8 @@ def _score(model, alphabet):
     return run
 
 
-def model_of(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Scores | None:
-    """Count and train; None without labels of both classes."""
-    table = cut(counted(docs, labels, order))
-    while order > 2 and table.count() > max_grams:
-        order -= 1
-        table = cut(table.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (_BITS * order)) - 1)).alias("gram")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+def model_of(table: DataFrame, order: int = ORDER) -> Scores | None:
+    """Train on the counts; None without labels of both classes."""
     got = table.toArrow()
     grams, toxic, ordinary = (np.asarray(got[c].combine_chunks()) for c in ("gram", "toxic", "ordinary"))
     if not len(grams) or not toxic.any() or not ordinary.any():
@@ -233,12 +235,119 @@ def model_of(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_grams:
     return train(grams[at].astype(np.uint64), toxic[at], ordinary[at], order)
 
 
+def ratios(table: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+    """(context, gram, value): what train() computes, as a table; the row of a context itself has a null gram."""
+    suffix = lambda k: F.col("gram").bitwiseAND(F.lit((1 << (_BITS * k)) - 1))
+    context = F.shiftrightunsigned("gram", _BITS)
+
+    def mixed(count: str, total: str, back: str, d: float):
+        return F.when(F.col(total) > 0, F.greatest(F.col(count) - d, F.lit(0.0)) / F.col(total) + F.col(back) / F.col(total) * F.col("below")).otherwise(F.col("below"))
+
+    lower_order = None
+    for k in range(1, order):
+        own = table.select(suffix(k + 1).alias("gram")).distinct().groupBy(suffix(k).alias("gram")).agg(F.count(F.lit(1)).alias("n")).withColumn("context", context)
+        total = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum(F.least("n", F.lit(0.75))).alias("back"))
+        own = own.join(total, "context")
+        own = own.withColumn("below", F.lit(1 / 64)) if k == 1 else own.withColumn("suffix", suffix(k - 1)).join(lower_order, "suffix")
+        lower_order = cut(own.select(F.col("gram").alias("suffix"), mixed("n", "total", "back", 0.75).alias("below")))
+    classes = ("toxic", "ordinary")
+    full = table.withColumn("context", context)
+    sums = cut(full.groupBy("context").agg(*[x for c in classes for x in (F.sum(c).alias(f"{c}_total"), F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_back"))]))
+    full = full.join(sums, "context")
+    full = full.withColumn("below", F.lit(1 / 64)) if order == 1 else full.withColumn("suffix", suffix(order - 1)).join(lower_order, "suffix")
+    value = [F.log(mixed(c, f"{c}_total", f"{c}_back", discount)) for c in classes]
+    weight = [F.log(F.greatest(F.when(F.col(f"{c}_total") > 0, F.col(f"{c}_back") / F.col(f"{c}_total")).otherwise(1.0), F.lit(1e-9))) for c in classes]
+    return full.select("context", "gram", (value[0] - value[1]).alias("value")).union(sums.select("context", F.lit(None).cast("bigint"), weight[0] - weight[1]))
+
+
+_ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("size", pa.int32()), ("grams", pa.binary()), ("rows", pa.binary()), ("times", pa.binary()), ("texts", pa.binary())])
+_SHARES = pa.schema([("batch", pa.int64()), ("sums", pa.binary()), ("texts", pa.binary())])
+
+
+def _asked(alphabet, order: int, parts: int):
+    """The distinct grams of each row, by the part of their context; ids, languages and sizes of a sub-batch go with one of its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(sub_batches(batches, "text"), task):
+            gram, row = grams_of(batch.column("text"), alphabet, order)
+            n = np.bincount(row, minlength=batch.num_rows)
+            texts = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(n)], names=["doc_id", "lang", "n"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema) as writer:
+                writer.write_batch(texts)
+            yield rows(_ASKED, [(number % parts, number, batch.num_rows, None, None, None, sink.getvalue().to_pybytes())])
+            at = np.lexsort((gram, row))
+            gram, row = gram[at], row[at]
+            new = np.ones(len(gram), dtype=bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(gram)))
+            gram, row = gram[first], row[first]
+            by, bounds = split((mix64(gram >> np.uint64(_BITS)) % np.uint64(parts)).astype(np.int64), parts)
+            yield rows(_ASKED, [(p, number, batch.num_rows, gram[o].tobytes(), row[o].astype(np.uint32).tobytes(), times[o].astype(np.uint32).tobytes(), None) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a for o in [by[a:b]]])
+
+    return run
+
+
+def _shares(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One part: what its grams add to the sums of each sub-batch's rows."""
+    known, of, value = right["gram"], np.asarray(right["context"]).astype(np.uint64), np.asarray(right["value"]).astype(np.float32)
+    own = np.asarray(known.is_valid())
+    gram = np.asarray(known.drop_null()).astype(np.uint64)
+    scores = Scores(0, gram, value[own], of[~own], value[~own])
+    out = []
+    for r in left.to_pylist():
+        if r["texts"] is not None:
+            out.append((r["batch"], None, r["texts"]))
+            continue
+        asked = np.frombuffer(r["grams"], dtype=np.uint64)
+        got = scores.values(asked) * np.frombuffer(r["times"], dtype=np.uint32)
+        out.append((r["batch"], np.bincount(np.frombuffer(r["rows"], dtype=np.uint32), weights=got, minlength=r["size"]).tobytes(), None))
+    trim()
+    return pa.Table.from_batches([rows(_SHARES, out)])
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    texts = pa.ipc.open_stream(next(x for x in table["texts"].to_pylist() if x is not None)).read_all()
+    total = np.zeros(texts.num_rows)
+    for cell in table["sums"].to_pylist():
+        if cell is not None:
+            total += np.frombuffer(cell, dtype=np.float64)
+    return pa.table({"doc_id": texts["doc_id"], "lang": texts["lang"], "score": pa.array(total / (np.asarray(texts["n"]) + SHRINK), pa.float64())})
+
+
+def _score_by_parts(own: DataFrame, table: DataFrame, order: int) -> DataFrame:
+    """(doc_id, lang, score) by the partitioned table of ratios."""
+    parts = parts_of(own.sparkSession)
+    alphabet = _alphabet()
+    asked = own.mapInArrow(_asked(alphabet, order, parts), "part int, batch bigint, size int, grams binary, rows binary, times binary, texts binary")
+    placed = ratios(table, order).mapInArrow(_placed(parts), "at int, context bigint, gram bigint, value double")
+    shares = asked.groupBy("part").cogroup(placed.groupBy("at")).applyInArrow(_shares, "batch bigint, sums binary, texts binary")
+    return shares.groupBy("batch").applyInArrow(_sums, "doc_id bigint, lang string, score double")
+
+
+def _placed(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = mix64(np.asarray(b.column("context")).astype(np.uint64)) % np.uint64(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *b.columns], names=["at", *b.schema.names])
+
+    return run
+
+
 def detect(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, max_grams: int = MAX_GRAMS) -> DataFrame:
     """(doc_id, lang, score, toxic) of every document (see the module)."""
-    model = model_of(docs, labels, order, max_grams)
+    table = cut(counted(docs, labels, order))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    scored = cut(own.mapInArrow(_score(send(docs.sparkSession, model), _alphabet()), "doc_id bigint, lang string, score double"))
-    if model is None:
+    n, toxic, ordinary = table.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("ordinary")).first()
+    fitted = bool(toxic and ordinary)
+    if fitted and n > max_grams:
+        scored = cut(_score_by_parts(own, table, order))
+    else:
+        model = model_of(table, order) if fitted else None
+        scored = cut(own.mapInArrow(_score(send(docs.sparkSession, model), _alphabet()), "doc_id bigint, lang string, score double"))
+    if not fitted:
         return scored.withColumn("toxic", F.lit(False))
     held = _marked(scored.withColumn("text", F.col("score")), labels).where("held AND toxic = 0").select("lang", F.col("text").alias("s"))
     pooled = held.agg(F.percentile_approx("s", 0.5, 10_000)).first()[0] or 0.0
