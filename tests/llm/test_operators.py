@@ -184,6 +184,13 @@ def test_toxicity_beyond_the_broadcast_bound(spark, corpus, data):
     assert np.allclose([r.score for r in small], [r.score for r in large], atol=1e-5)
 
 
+def test_every_toxic_label_counts(spark):
+    d = spark.createDataFrame([(i, "abcde", "en") for i in range(80)], "doc_id bigint, text string, lang string")
+    y = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id bigint, toxic int")
+    got = toxicity.counted(d, y).agg(F.max("toxic"), F.max("ordinary")).first()
+    assert got[0] == 40 and 0 < got[1] < 40
+
+
 def test_grams_brute():
     table = toxicity._alphabet()
     texts = ["Ab c", "", None, "é--dog", "x"]

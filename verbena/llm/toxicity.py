@@ -5,8 +5,8 @@ boundary), so that inflected and compounded forms of a toxic stem share their
 evidence.  Grams have up to 4 characters and don't reach back over a word's start.
 
 Counts: every document of the corpus gives gram counts; those of labelled
-documents also count for their class (toxic or ordinary), but for a tenth of them,
-by hash, which is held out for calibration.  All counts cover all documents.
+documents also count for their class (toxic or ordinary), but for a tenth of the
+ordinary ones, by hash, which is held out for calibration; every toxic label counts.
 
 Models: each class has an interpolated Kneser-Ney model of the highest order with
 its own counts.  What a class hasn't seen, or only rarely, backs off to lower
@@ -207,12 +207,12 @@ def counted(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame
 
 
 def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with toxic (null without a label) and held (is the labelled document held out?)."""
+    """docs with toxic (null without a label) and held (is it a held-out ordinary document?)."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id IS NOT NULL AND toxic IN (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
-    return own.join(marks, own["doc_id"] == marks["__id"], "left").drop("__id").withColumn("held", F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(HELD_OUT)) == 0)
+    return own.join(marks, own["doc_id"] == marks["__id"], "left").drop("__id").withColumn("held", F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(HELD_OUT)) == 0).withColumn("held", F.col("held") & F.col("toxic").eqNullSafe(F.lit(0)))
 
 
 def _score(model, alphabet):
@@ -349,7 +349,7 @@ def detect(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
         scored = cut(own.mapInArrow(_score(send(docs.sparkSession, model), _alphabet()), "doc_id bigint, lang string, score double"))
     if not fitted:
         return scored.withColumn("toxic", F.lit(False))
-    held = _marked(scored.withColumn("text", F.col("score")), labels).where("held AND toxic = 0").select("lang", F.col("text").alias("s"))
+    held = _marked(scored.withColumn("text", F.col("score")), labels).where("held").select("lang", F.col("text").alias("s"))
     pooled = held.agg(F.percentile_approx("s", 0.5, 10_000)).first()[0] or 0.0
     # one row a language; few, but their number is the data's, so the planner picks the join
     centre = held.groupBy("lang").agg(F.percentile_approx("s", 0.5, 10_000).alias("centre"))
