@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from verbena.llm import flac, hamming_search, langid, line_dedup, ngram_join, packing, quality, sentencepiece_codec, toxicity, warc_index
+from verbena.llm import flac, hamming_search, langid, line_dedup, ngram_join, packing, quality, queries, sentencepiece_codec, toxicity, warc_index
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, x string, part int, score double"
 
@@ -191,6 +191,11 @@ def test_every_toxic_label_counts(spark):
     assert got[0] == 40 and 0 < got[1] < 40
 
 
+def test_the_toxicity_query_returns_every_document(spark, corpus, data):
+    got = queries.op2_toxicity(spark, data)
+    assert got.columns == ["doc_id", "lang", "score", "toxic"] and got.count() == corpus.count()
+
+
 def test_grams_brute():
     table = toxicity._alphabet()
     texts = ["Ab c", "", None, "é--dog", "x"]
