@@ -118,6 +118,18 @@ def test_language_brute(corpus):
     assert np.allclose(alone, model.words.logs[model.words.find(the)[0]])
 
 
+def test_language_sample(spark, corpus):
+    """400 documents of a language train, with the same model as on the driver alone."""
+    spell = lambda i: "".join("abcdefghij"[int(x)] for x in str(i))
+    d = spark.createDataFrame([(i, f"{spell(i)}q {spell(i)}q", "xx") for i in range(1000, 1400)], "doc_id bigint, text string, lang string")
+    assert len(langid.train(d).words.keys) == 400
+    rows = corpus.where("trim(lang) <> '' AND text IS NOT NULL").select("lang", "text").collect()
+    alone, spread = langid.fit(pa.array([r.text for r in rows]), [r.lang for r in rows]), langid.train(corpus, per_language=len(rows))
+    assert alone.languages == spread.languages
+    for a, b in [(alone.words, spread.words), *((alone.grams[k], spread.grams[k]) for k in alone.grams)]:
+        assert np.array_equal(a.keys, b.keys) and np.allclose(a.logs, b.logs)
+
+
 def test_quality(spark, docs, none, corpus, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     assert quality.score(none, labels).count() == 0

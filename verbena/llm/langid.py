@@ -1,9 +1,10 @@
 """Operator 6: language identification by word-first backoff.
 
 Training takes up to per_language labelled documents of each language (a bounded
-sample, chosen by the hash of doc_id).  It counts the words (runs of letters, in
-lower case) of each language, and the character n-grams of 1 to 5 characters
-inside them.
+sample, chosen by the hash of doc_id).  The executors count the words (runs of
+letters, in lower case) of each language; the driver gets the summed table and counts
+the character n-grams of 1 to 5 characters inside them.  A word is known when the
+sample has it twice; n-grams are counted in all words.
 
 Scoring looks each word up first: a known word adds its smoothed log frequency
 in every language.  An unseen word backs off to its character n-grams of the
@@ -29,13 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blobs import ragged, received, send, sub_batches
 from .textops import lower, span_hashes, spans, string_bytes
 
-PER_LANGUAGE, LONGEST, MIN_MARGIN = 250, 5, 0.05
+PER_LANGUAGE, LONGEST, MIN_MARGIN = 400, 5, 0.05
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -158,6 +160,12 @@ def fit(texts: pa.Array, labels: list[str]) -> Model:
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     counts = np.bincount(place[which] * m + code[row], minlength=len(names) * m).reshape(-1, m)
+    return _model(languages, raw, start, end, names, counts)
+
+
+def _model(languages: list[str], raw: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray, counts: np.ndarray) -> Model:
+    """The model of distinct words in ascending order of place, and their counts by language."""
+    m = len(languages)
 
     def table(hashes: np.ndarray, word: np.ndarray, smooth: float) -> Table:
         at, label = np.nonzero(counts[word])
@@ -169,6 +177,20 @@ def fit(texts: pa.Array, labels: list[str]) -> Model:
     return Model(languages, words, grams)
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of each sub-batch."""
+    for batch in sub_batches(batches, "text"):
+        raw, start, end, row = letters(batch.column("text"))
+        lang = batch.column("lang").dictionary_encode()
+        own, names = np.asarray(lang.indices)[row], lang.dictionary.to_pylist()
+        keys = span_hashes(raw, start, end)
+        for c, name in enumerate(names):
+            mine = np.flatnonzero(own == c)
+            _, first, n = np.unique(keys[mine], return_index=True, return_counts=True)
+            at = mine[first]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([raw[a:b].tobytes().decode() for a, b in zip(start[at], end[at])], pa.string()), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on at most per_language labelled documents of each language."""
     labelled = docs.select("doc_id", "lang", "text").where("trim(lang) <> '' AND text IS NOT NULL")
@@ -178,16 +200,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     # a little over the expected number, cut to the bound by the same hash
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * per_language / n + 20 / n))) for k, n in sorted(counts.items())])
     place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30))
-    sample = labelled.where(place < share * (1 << 30)).select("lang", "text", place.alias("place"), "doc_id").toArrow()
-    order = sorted(range(len(sample)), key=lambda i: (sample["place"][i].as_py(), sample["doc_id"][i].as_py() or 0, sample["text"][i].as_py()))
-    taken, texts, labels = dict.fromkeys(counts, 0), [], []
-    for i in order:
-        lang = sample["lang"][i].as_py()
-        if taken[lang] < per_language:
-            taken[lang] += 1
-            texts.append(sample["text"][i].as_py())
-            labels.append(lang)
-    return fit(pa.array(texts, pa.string()), labels)
+    sample = labelled.where(place < share * (1 << 30)).withColumn("place", place)
+    first = Window.partitionBy("lang").orderBy("place", F.coalesce("doc_id", F.lit(0)), "text")
+    sample = sample.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("lang", "text")
+    table = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(counts)
+    distinct = pa.compute.unique(table["word"].combine_chunks())
+    word = np.asarray(pa.compute.index_in(table["word"].combine_chunks(), distinct), dtype=np.int64)
+    code = np.asarray(pa.compute.index_in(table["lang"].combine_chunks(), pa.array(languages, pa.string())), dtype=np.int64)
+    raw, start, end, _ = letters(distinct)
+    m = len(languages)
+    by = np.bincount(word * m + code, weights=np.asarray(table["n"]), minlength=len(distinct) * m).astype(np.int64).reshape(-1, m)
+    return _model(languages, raw, start, end, span_hashes(raw, start, end), by)
 
 
 def _classify(model, min_margin: float):
