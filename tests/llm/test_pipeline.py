@@ -1,9 +1,128 @@
 """The pipeline's stages, each written and read again, against what they call."""
 
+import math
+import re
+from collections import Counter
+
 import corpus_pipeline
+import pyarrow as pa
+from verbena.llm import quality
 from verbena.llm.blobs import cut
 
 
+def told(rows):
+    """Documents whose language can be told, by plain dictionaries (all rows train: fewer than 400 a language)."""
+    runs = lambda text: re.findall(r"[a-z\u0080-\U0010ffff]+", (text or "").lower())
+    grams = lambda w, k: [w[i : i + k] for i in range(len(w) - k + 1)]
+    counts = {lang: Counter() for lang in sorted({r.lang for r in rows if r.lang and r.lang.strip()})}
+    for r in rows:
+        if r.lang in counts:
+            counts[r.lang].update(runs(r.text))
+    total = sum(counts.values(), Counter())
+
+    def table(keys, smooth):
+        by = {lang: Counter() for lang in counts}
+        for lang, c in counts.items():
+            for w, n in c.items():
+                for g in keys(w):
+                    by[lang][g] += n
+        names = set().union(*by.values())
+        return {g: [math.log((c[g] + smooth) / (sum(c.values()) + smooth * (len(names) + 1))) for c in by.values()] for g in names} if names else {}
+
+    known = [table(lambda w: [w] if total[w] >= 2 else [], 0.1), *[table(lambda w, k=k: grams(w, k), 0.5) for k in range(5, 0, -1)]]
+    out = set()
+    for r in rows:
+        scores = []
+        for w in runs(r.text):
+            for k, own in zip((None, 5, 4, 3, 2, 1), known):
+                hits = [own[g] for g in ([w] if k is None else grams(w, k)) if g in own]
+                if hits:
+                    scores.append([sum(x) / len(hits) for x in zip(*hits)])
+                    break
+        if scores:
+            top = sorted(sum(x) / len(scores) for x in zip(*scores))
+            if top[-1] - top[-2] >= 0.05:
+                out.add((r.doc_id, r.text))
+    return out
+
+
+def good(rows, forest):
+    out = set()
+    for r, x in zip(rows, quality.statistics(pa.array([r.text for r in rows], pa.string()))):
+        margin = forest.base
+        for n in forest.roots:
+            while forest.left[n] != n:
+                n = forest.left[n] if x[forest.feature[n]] <= forest.threshold[n] else forest.right[n]
+            margin += forest.value[n]
+        if 1 / (1 + math.exp(-margin)) >= 0.5:
+            out.add((r.doc_id, r.text))
+    return out
+
+
+def groups(sets, threshold):
+    """The smallest member of each item's component of items at least threshold alike."""
+    index, root = {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for g in s:
+            index.setdefault(g, []).append(i)
+    overlap = Counter((a, b) for own in index.values() for k, a in enumerate(own) for b in own[k + 1 :])
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for (a, b), o in overlap.items():
+        if o >= threshold * (len(sets[a]) + len(sets[b]) - o):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def without_similar_lines(rows):
+    plain = lambda line: line.lower().strip(" \t\n\r\v\f")
+    of = groups({x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in {plain(x) for r in rows for x in r.text.split("\n")} - {""}}, 0.75)
+    seen, out = set(), set()
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        kept = []
+        for line in r.text.split("\n"):
+            own = of.get(plain(line))
+            if own not in seen:
+                kept.append(line)
+            seen |= {own} - {None}
+        text = "\n".join(kept)
+        if text == r.text or text.strip():
+            out.add((r.doc_id, text))
+    return out
+
+
+def without_copies(rows):
+    sets = {}
+    for r in rows:
+        w = r.text.lower().split()
+        if w:
+            sets[r.doc_id] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+    of = groups(sets, 0.5)
+    return {(r.doc_id, r.text) for r in rows if of.get(r.doc_id, r.doc_id) == r.doc_id}
+
+
+def test_stages_brute(spark, data):
+    """The documents and texts that each stage keeps, by plain Python."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    plain = {"language": told, "quality": lambda rows: good(rows, quality.train(docs, labels)), "line_dedup": without_similar_lines, "ngram_join": without_copies}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = docs.collect()
+        after = cut(stage(spark, docs, data))
+        got = [(r.doc_id, r.text) for r in after.select("doc_id", "text").collect()]
+        want = plain[name](rows)
+        assert len(got) == len(set(got)) and set(got) == want, (name, len(set(got) - want), len(want - set(got)))
+        docs = after
+    lengths = {r.doc_id: len(r.text.lower().split()) for r in docs.collect()}
+    placed = sorted((d, s, n) for r in corpus_pipeline.STAGES[-1][1](spark, docs, data).collect() for d, s, n in zip(r.doc_ids, r.starts, r.lengths))
+    assert placed == sorted((d, s, min(2048, n - s)) for d, n in lengths.items() for s in range(0, n, 2048))
+
+
 def test_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     names = docs.columns
