@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import Gather, by_part, cut, pack_ids, pack_keys, parts_of, planes, ragged, rows, split, sub_batches, unpack_ids, unpack_keys, unplanes, usable
-from .pairs import BROADCAST_ROWS, components, distinct_pairs, pair_blobs, run_bounds, verify
+from .blobs import Gather, by_part, cut, pack_ids, pack_keys, parts_of, planes, ragged, rows, split, sub_batches, trim, unpack_ids, unpack_keys, unplanes, usable
+from .pairs import components, distinct_pairs, pair_blobs, run_bounds, small, unique_pairs, verify
 from .textops import mix64, ngrams, words
 
 NGRAM, THRESHOLD, WIDTH = 3, 0.5, 5
@@ -196,37 +196,48 @@ def _prefix_lists(parts: int, width: int):
     return run
 
 
-def _group_pairs(parts: int, threshold: float, width: int, chunk: int = 2_000_000):
-    """Inverted lists of one part -> group pairs that size and position allow."""
+def _group_pairs(parts: int, threshold: float, width: int, chunk: int = 250_000, hold: int = 1_000_000):
+    """Inverted lists of one part -> group pairs that size and position allow.
 
-    def reduce(table: pa.Table) -> pa.Table:
-        ids = np.concatenate([unpack_ids(c.as_py()) for c in table["ids"]])
-        size, place = (np.concatenate([unplanes(c.as_py()) for c in table[k]]).astype(np.int64) for k in ("sizes", "places"))
-        tokens = np.concatenate([unpack_keys(c.as_py(), width) for c in table["tokens"]])
+    Pairs are made about chunk at a time and made distinct at once; hold of them
+    leave together, so that memory doesn't follow the number of pairs.
+    """
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, size, place, tokens = [], [], [], []
+        for b in batches:
+            ids += [unpack_ids(c.as_py()) for c in b.column("ids")]
+            size += [unplanes(c.as_py()) for c in b.column("sizes")]
+            place += [unplanes(c.as_py()) for c in b.column("places")]
+            tokens += [unpack_keys(c.as_py(), width) for c in b.column("tokens")]
+        ids, size, place, tokens = np.concatenate(ids), np.concatenate(size).astype(np.int64), np.concatenate(place).astype(np.int64), np.concatenate(tokens)
         order = np.lexsort((size, tokens))
         ids, size, place, tokens = ids[order], size[order], place[order], tokens[order]
         start, count = run_bounds(tokens)
         # partners of a member follow it in size order up to size / t
-        end = np.repeat(start + count, count)
-        reach = np.empty(len(ids), dtype=np.int64)
+        reach = np.arange(len(ids)) + 1
         limit = np.floor(size / threshold + 1e-9)
         for s, c in zip(start[count > 1], count[count > 1]):
             reach[s : s + c] = s + np.searchsorted(size[s : s + c], limit[s : s + c], side="right")
-        reach = np.where(np.repeat(count, count) > 1, np.minimum(reach, end), np.arange(len(ids)) + 1)
         more = reach - np.arange(len(ids)) - 1
-        found_x, found_y, lo = [], [], 0
-        total = np.cumsum(more)
+        total, lo = np.cumsum(more), 0
+        held = Gather(hold)
         while lo < len(ids):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + chunk, side="right")))
             i = np.repeat(np.arange(lo, hi), more[lo:hi])
             j = ragged(np.arange(lo, hi) + 1, more[lo:hi])
             need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
-            fits = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= need
-            x, y = np.minimum(ids[i[fits]], ids[j[fits]]), np.maximum(ids[i[fits]], ids[j[fits]])
-            found_x.append(x)
-            found_y.append(y)
+            fits = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+            if held.add(*unique_pairs(ids[i[fits]], ids[j[fits]])):
+                x, y = unique_pairs(*held.take())
+                if 2 * len(x) > hold:
+                    yield pair_blobs(x, y, parts)
+                else:
+                    held.add(x, y)
             lo = hi
-        return pa.Table.from_batches([pair_blobs(np.concatenate(found_x), np.concatenate(found_y), parts)])
+        if held.size:
+            yield pair_blobs(*held.take(), parts)
+        trim()
 
     return reduce
 
@@ -247,7 +258,7 @@ def _sets(width: int):
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of documents with n-gram Jaccard of at least the threshold (see the module)."""
     spark = docs.sparkSession
-    parts, width = parts_of(spark, 0.25), gram_bytes(parts_of(spark, 2))
+    parts, width = parts_of(spark), gram_bytes(parts_of(spark, 2))
     found = members(docs, n, threshold)
     prefix = F.expr(f"substring(tokens, 1, cast({width} * first AS int))")
     prefix_key = F.when(F.col("lone") == 0, F.md5(prefix)).otherwise(F.concat(F.lit("doc"), F.col("id").cast("string")))
@@ -255,10 +266,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     groups = grouped.groupBy("key", "size").agg(F.min("id").alias("group"), F.sort_array(F.collect_list("id")).alias("ids"), F.min("lone").alias("lone"), F.min("prefix").alias("prefix"))
     groups = cut(groups.select("group", "ids", "size", "lone", "prefix"))
     lists = groups.select("group", "size", "lone", "prefix").mapInArrow(_prefix_lists(parts, width), "part int, ids binary, sizes binary, places binary, tokens binary")
-    group_pairs = distinct_pairs(by_part(lists, _group_pairs(parts, threshold, width), "part int, a binary, b binary"))
-    own = groups.select("group", "ids")
-    if own.count() <= BROADCAST_ROWS:
-        own = F.broadcast(own)
+    group_pairs = distinct_pairs(lists.groupBy("part").applyInArrow(_group_pairs(parts, threshold, width), "part int, a binary, b binary"))
+    own = small(groups.select("group", "ids"), ("ids",))
     across = (
         group_pairs.join(own.select(F.col("group").alias("x"), F.col("ids").alias("xs")), "x")
         .join(own.select(F.col("group").alias("y"), F.col("ids").alias("ys")), "y")

@@ -14,8 +14,17 @@ from .textops import mix64
 
 _BLOB = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 BLOCK = 1024
-#: A side of two 64-bit columns is broadcast only while it has at most so many rows (8 MB).
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only while its cells of 64 bits, list items included, are at most so many (16 MB).
+BROADCAST_CELLS = 2_000_000
+
+
+def small(df: DataFrame, lists: tuple[str, ...] = ()) -> DataFrame:
+    """df, marked for broadcast while its columns and the items of its lists stay below the bound."""
+    cells = F.lit(len(df.columns))
+    for name in lists:
+        cells = cells + F.size(name)
+    total = df.agg(F.sum(cells.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_CELLS else df
 
 
 def pairs_of_runs(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +95,7 @@ def verify(pairs: DataFrame, items: DataFrame, sets: Callable[[pa.Table], list[n
     label = both.groupBy("id").agg(F.least(F.min("o"), F.col("id")).alias("label"))
     count = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
     label = cut(label.join(count, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("block")))
-    if label.count() <= BROADCAST_ROWS:
-        label = F.broadcast(label)
+    label = small(label)
     placed = (
         pairs.join(label.select(F.col("id").alias("x"), F.col("block").alias("bx")), "x")
         .join(label.select(F.col("id").alias("y"), F.col("block").alias("by")), "y")
