@@ -10,9 +10,11 @@ a deployment sizes with its input.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import pickle
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -133,20 +135,46 @@ def by_part(df: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as the cluster sets it.
 
-    Where it is unset (local tests) a folder under the working directory is set.
+    Where it is unset a local session (tests) gets a folder under the working
+    directory; on a cluster, where that would be each machine's own, it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        now = spark.sparkContext.getCheckpointDir()
-        if now:
-            return now
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_CUT: list[tuple[str, str]] = []
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/verbena-{uuid.uuid4().hex}"
+    if not _CUT:
+        atexit.register(_clean)
+    _CUT.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean() -> None:
+    """The intermediate tables of a session that is still there; a session that ended first keeps its folder, which the cluster cleans."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark._jsc is None or spark._jsc.sc().isStopped():
+        return
+    for owner, path in _CUT:
+        if owner == spark.sparkContext.applicationId:
+            _remove(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame materialised in the shared folder, its lineage cut.
 
@@ -154,9 +182,16 @@ def cut(df: DataFrame) -> DataFrame:
     read again; the loss of an executor can't lose it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verbena-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._verbena_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of cut() that nothing reads any more."""
+    _remove(df.sparkSession, df._verbena_path)
 
 
 def usable(docs: DataFrame, *columns: str) -> DataFrame:
