@@ -258,7 +258,7 @@ def _sets(width: int):
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of documents with n-gram Jaccard of at least the threshold (see the module)."""
     spark = docs.sparkSession
-    parts, width = parts_of(spark), gram_bytes(parts_of(spark, 2))
+    parts, width = parts_of(spark, 0.25), gram_bytes(parts_of(spark, 2))
     found = members(docs, n, threshold)
     prefix = F.expr(f"substring(tokens, 1, cast({width} * first AS int))")
     prefix_key = F.when(F.col("lone") == 0, F.md5(prefix)).otherwise(F.concat(F.lit("doc"), F.col("id").cast("string")))
@@ -296,9 +296,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THR
     return without_ids(docs, gone)
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """docs without the ids of gone (__gone); gone is broadcast only while it has at most broadcast_rows rows."""
-    gone = cut(gone)
-    if gone.count() <= broadcast_rows:
-        gone = F.broadcast(gone)
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the ids of gone (__gone), which is broadcast only while it is small."""
+    gone = small(cut(gone))
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")

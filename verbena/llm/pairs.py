@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import by_part, cut, pack_ids, ragged, rows, split, unpack_ids
+from .blobs import by_part, cut, drop, pack_ids, ragged, rows, split, unpack_ids
 from .textops import mix64
 
 _BLOB = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-BLOCK = 1024
+BLOCK, AT_ONCE = 2048, 1 << 18
 #: A side is broadcast only while its cells of 64 bits, list items included, are at most so many (16 MB).
 BROADCAST_CELLS = 2_000_000
 
@@ -130,13 +130,24 @@ def verify(pairs: DataFrame, items: DataFrame, sets: Callable[[pa.Table], list[n
         for start, length in zip(*run_bounds(i)):
             own = codes[ends[i[start]] : ends[i[start] + 1]]
             mark[own] = True
-            for k in range(start, start + length):
-                if connect and find(i[k]) == find(j[k]):
-                    keep[k] = False
-                    continue
-                overlap[k] = np.count_nonzero(mark[codes[ends[j[k]] : ends[j[k] + 1]]])
-                if connect and accept(right, i[k : k + 1], j[k : k + 1], overlap[k : k + 1], sizes)[0][0]:
-                    root[find(i[k])] = find(j[k])
+            work = np.cumsum(sizes[j[start : start + length]])
+            lo = 0
+            while lo < length:  # about so many members of partners at a time
+                hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+                k = np.arange(start + lo, start + hi)
+                if connect:
+                    here = find(int(i[start]))
+                    k = np.array([n for n in k.tolist() if find(int(j[n])) != here], dtype=np.int64)
+                    keep[start + lo : start + hi] = False
+                    keep[k] = True
+                many = sizes[j[k]]
+                there = np.concatenate(([0], np.cumsum(mark[codes[ragged(ends[j[k]], many)]])))
+                to = np.cumsum(many)
+                overlap[k] = there[to] - there[to - many]
+                if connect and len(k):
+                    for n in k[accept(right, i[k], j[k], overlap[k], sizes)[0]].tolist():
+                        root[find(int(i[n]))] = find(int(j[n]))
+                lo = hi
             mark[own] = False
         i, j, overlap = i[keep], j[keep], overlap[keep]
         good, columns = accept(right, i, j, overlap, sizes)
@@ -150,32 +161,35 @@ def verify(pairs: DataFrame, items: DataFrame, sets: Callable[[pa.Table], list[n
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's edges: a star for each local component."""
-    root: dict[int, int] = {}
-
-    def find(n: int) -> int:
-        while (up := root.setdefault(n, n)) != n:
-            root[n] = root.setdefault(up, up)
-            n = root[n]
-        return n
-
+    """One partition's edges, a piece at a time -> a star for each component of the piece."""
     for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    nodes = list(root)
-    for lo in range(0, len(nodes), 100_000):
-        some = [n for n in nodes[lo : lo + 100_000] if find(n) != n]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(n) for n in some], pa.int64())], names=["x", "y"])
+        x, y = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        names, code = np.unique(np.concatenate((x, y)), return_inverse=True)
+        a, b = code[: len(x)], code[len(x) :]
+        root = np.arange(len(names))
+        while len(a):  # hook the larger root below the smaller one, then halve the paths
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
+            a, b = root[a], root[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+        leaf = np.flatnonzero(root != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[leaf], pa.int64()), pa.array(names[root[leaf]], pa.int64())], names=["x", "y"])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components (id, root) of the edges (x, y), the root being the smallest id.
 
-    A union-find of each partition first turns its edges into stars.  Rounds of
-    large-star and small-star then shuffle the stars together until nothing
-    changes; each round is written to the shared folder.  The number of rounds
+    A union-find of each piece of a partition first turns its edges into stars.
+    Rounds of large-star and small-star then bring the stars together until nothing
+    changes.  A node's least neighbour is a min, which is combined before the
+    shuffle, and comes back by a join, which AQE cuts where a node has many
+    neighbours; no row holds a node's neighbours.  Each round is written to the
+    shared folder, and the one before deleted.  The number of rounds
     grows with the logarithm of the size; rounds is a safeguard that raises.
     """
     edges = edges.select("x", "y").where(F.col("x") != F.col("y"))
@@ -183,14 +197,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.collect_set("y").alias("ys")).withColumn("m", F.least("x", F.array_min("ys")))
-        large = least.select(F.explode("ys").alias("y"), "m", "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("m").alias("y"))
-        small = large.where(F.col("x") != F.col("y")).groupBy("x").agg(F.collect_set("y").alias("ys")).withColumn("m", F.array_min("ys"))
-        small = small.select(F.explode(F.concat("ys", F.array("x"))).alias("x"), F.col("m").alias("y"))
-        edges = cut(small.where(F.col("x") != F.col("y")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")), F.lit(0))).first()
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = both.join(least, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where(F.col("x") != F.col("y")).union(least.select("x", F.col("m").alias("y")))
+        after = cut(small.distinct())
+        now = after.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")), F.lit(0))).first()
+        drop(edges)
+        edges = after
         if now == before:
             return edges.select(F.col("x").alias("id"), F.col("y").alias("root"))
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
-
