@@ -24,6 +24,7 @@ non-blank lines goes.  Lines count as exact copies when their 64-bit hashes agre
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import Gather, by_part, cut, parts_of, ragged, rows, split, sub_batches, usable
-from .pairs import components, distinct_pairs, pair_blobs, pairs_of_runs, run_bounds, verify
+from .pairs import components, distinct_pairs, pair_blobs, pairs_of_runs, run_bounds, small, verify
 from .textops import code_points, lower, mix64, span_hashes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 12, 5, 0.75
@@ -231,27 +232,29 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return spread.groupBy(F.col("o.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_set("o.number")).alias("numbers"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = 1_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one line of each component kept (see the module).
 
     Columns and their order stay; n_chars, where there is one, is counted anew
     for the documents that change.  The table of dropped lines is broadcast only
-    while it has at most broadcast_rows rows; beyond, the join shuffles.
+    while its cells are few enough; beyond, the join shuffles.
     """
-    drops = cut(dropped_lines(docs, threshold)).select(F.col("doc_id").alias("__doc"), F.col("numbers").alias("__numbers"))
-    if drops.count() <= broadcast_rows:
-        drops = F.broadcast(drops)
-    joined = docs.join(drops, docs["doc_id"].cast("bigint") == drops["__doc"], "left")
-    changed = F.col("__numbers").isNotNull() & F.col("text").isNotNull()
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__numbers", i))
-    joined = joined.withColumn("__text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
-    joined = joined.where(~(changed & (F.length(F.trim(F.regexp_replace("__text", "[\\t\\n\\x0B\\f\\r]", " "))) == 0)))
+    doc, numbers, lines, new = (f"__{k}_{uuid.uuid4().hex}" for k in ("doc", "numbers", "lines", "text"))
+    drops = cut(dropped_lines(docs, threshold)).select(F.col("doc_id").alias(doc), F.col("numbers").alias(numbers))
+    drops = small(drops, (numbers,))
+    joined = docs.join(drops, docs["doc_id"].cast("bigint") == drops[doc], "left")
+    changed = F.col(numbers).isNotNull() & F.col("text").isNotNull()
+    # a column of its own, so that the lambda doesn't split the text for each line
+    joined = joined.withColumn(lines, F.when(changed, F.split("text", "\n", -1)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers)), lambda i: F.get(lines, i))
+    joined = joined.withColumn(new, F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
+    joined = joined.where(~(changed & (F.length(F.trim(F.regexp_replace(new, "[\\t\\n\\x0B\\f\\r]", " "))) == 0)))
     out = []
     for c in docs.columns:
         if c == "text":
-            out.append(F.col("__text").alias("text"))
+            out.append(F.col(new).alias("text"))
         elif c == "n_chars":
-            out.append(F.when(changed, F.length("__text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(changed, F.length(new).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return joined.select(*out)
