@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import flac, hamming_search, langid, line_dedup, ngram_join, packing, quality, sentencepiece_codec, toxicity, warc_index
 
+#: The tokenizer that op10 applies.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(name: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,7 +75,8 @@ SELECT url_key, page_id, count(*) OVER (PARTITION BY url_key) AS captures, md5(h
 
 
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.decode_column(flac.media_of(_table("embeddings")(spark, sf_dir)))
+    # clips of 128 vectors: two seconds in blocks of 4,096 samples
+    return flac.decode_column(flac.media_of(_table("embeddings")(spark, sf_dir), per_clip=128, block=4096))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +113,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_decode(_documents(spark, sf_dir))
+    return sentencepiece_codec.encode_decode(_documents(spark, sf_dir), PIECES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
