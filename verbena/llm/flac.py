@@ -8,10 +8,16 @@ CRC-8, the frame's CRC-16 and the stream's MD5 are verified.  Each frame becomes
 PCM block with the number of its first sample, so a seek to a sample is a search by
 first_sample.
 
-The residual's places in the bit stream come from one pass that jumps from stop bit
-to stop bit; quotients and remainders are then gathered with numpy, and fixed
+A stream is read through a window of a few frames, so that decoding holds the stream
+itself and about WINDOW bytes' bits, whatever its length; blocks leave as they are
+decoded.  The residual's places in the bit stream come from one pass that jumps from
+stop bit to stop bit; quotients and remainders are then gathered with numpy, and fixed
 predictors are undone by repeated sums.
 
+write_blocks() stores the blocks in the order of (id, first_sample) with the sample
+after each, in small row groups; seek_file() reads only the row groups whose statistics
+admit the sample.
+
 encode() writes such streams from PCM (the tables hold no audio): it tries constant,
 fixed 0 to 4, a least-squares linear predictor, and verbatim, and takes the cheapest,
 with one Rice parameter for each of up to 8 partitions.
@@ -26,16 +32,20 @@ rows.
 from __future__ import annotations
 
 import hashlib
+import operator
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import trim
 
 BLOCK, RATE = 128, 16_000
+#: Bytes of a stream whose bits are held at a time; bytes of PCM in a batch of blocks.
+WINDOW, BATCH_BYTES = 1 << 16, 4 << 20
 RESULT = "id bigint, block int, first_sample bigint, samples int, channels int, sample_rate int, bits int, pcm binary, error string"
 
 
@@ -67,20 +77,26 @@ def crc16(data: bytes, table: list[int]) -> int:
 
 
 class Bits:
-    """Bits of a byte string, read by numpy."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        self.bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8))
-        ones = np.flatnonzero(self.bits)
-        n = len(self.bits)
-        self.end = n
-        nxt = np.full(n + 1, n, dtype=np.int64)
-        if len(ones):
-            at = np.searchsorted(ones, np.arange(n))
-            nxt[:n] = np.where(at < len(ones), ones[np.minimum(at, len(ones) - 1)], n)
-        self.next_one = nxt.tolist()
+    """Bits of a byte string, read by numpy through a window of it."""
+
+    def __init__(self, data: bytes, start: int = 0, window: int = 1 << 16):
+        self.whole, self.window = data, window
+        self.open(start)
+
+    def open(self, start: int) -> None:
+        """Put the window at this byte."""
+        self.start = start
+        self.data = self.whole[start : start + self.window]
+        self.last = start + len(self.data) == len(self.whole)
+        self.bits = np.unpackbits(np.frombuffer(self.data, dtype=np.uint8))
+        self.end = n = len(self.bits)
         self.at = 0
+        nxt = np.where(self.bits, np.arange(n, dtype=np.int32), np.int32(n))
+        self.next_one = array("i", np.minimum.accumulate(nxt[::-1])[::-1].tobytes())
+
+    def place(self) -> int:
+        """The byte of the whole string at which the next bit stands."""
+        return self.start + self.at // 8
 
     def take(self, count: int) -> int:
         if self.at + count > self.end:
@@ -172,9 +188,8 @@ def _fixed(warm: np.ndarray, residual: np.ndarray) -> np.ndarray:
 def _linear(warm: list[int], coefficients: list[int], shift: int, residual: np.ndarray) -> np.ndarray:
     out = list(warm)
     back = coefficients[::-1]
-    order = len(back)
-    for r in residual.tolist():
-        out.append(r + (sum(a * b for a, b in zip(back, out[-order:])) >> shift))
+    for n, r in enumerate(residual.tolist()):
+        out.append(r + (sum(map(operator.mul, back, out[n:])) >> shift))
     return np.array(out, dtype=np.int64)
 
 
@@ -217,75 +232,94 @@ def _coded_number(bits: Bits) -> int:
     return value
 
 
-def decode(data: bytes, tables: tuple) -> tuple[list[tuple], str | None]:
+def _frame(bits: Bits, depth: int, block_size: int, tables: tuple) -> tuple[int, np.ndarray, int]:
+    """(first sample, PCM (samples, channels), bits a sample) of the frame at the place."""
+    begin = bits.at // 8
+    if bits.take(15) != 0x7FFC:
+        raise ValueError("no frame at its place")
+    variable = bits.take(1)
+    size_code, rate_code, mode, depth_code = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+    bits.take(1)
+    number = _coded_number(bits)
+    size = {1: 192, 6: None, 7: None}.get(size_code, 576 << (size_code - 2) if 2 <= size_code <= 5 else 256 << (size_code - 8) if size_code >= 8 else 0)
+    if size_code in (6, 7):
+        size = bits.take(8 if size_code == 6 else 16) + 1
+    if not size:
+        raise ValueError("reserved block size")
+    if rate_code in (12, 13, 14):
+        bits.take(8 if rate_code == 12 else 16)
+    head = bits.data[begin : bits.at // 8]
+    if bits.take(8) != crc8(head, tables[0]):
+        raise ValueError("the header fails its CRC-8")
+    own = {0: depth, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[depth_code]
+    if mode < 8:
+        sides = [_subframe(bits, size, own) for _ in range(mode + 1)]
+    elif mode <= 10:
+        a, b = _subframe(bits, size, own + (mode == 9)), _subframe(bits, size, own + (mode in (8, 10)))
+        if mode == 8:
+            sides = [a, a - b]
+        elif mode == 9:
+            sides = [a + b, b]
+        else:
+            mid = (a << 1) | (b & 1)
+            sides = [(mid + b) >> 1, (mid - b) >> 1]
+    else:
+        raise ValueError("reserved channel assignment")
+    bits.align()
+    body = bits.data[begin : bits.at // 8]
+    if bits.take(16) != crc16(body, tables[1]):
+        raise ValueError("the frame fails its CRC-16")
+    return (number if variable else number * block_size), np.stack(sides, axis=1), own
+
+
+def frames(data: bytes, tables: tuple, window: int = WINDOW) -> Iterator[tuple]:
+    """(first sample, PCM, rate, bits, None) of each frame as it is decoded, and (None, None, None, None, error) if the stream is damaged."""
+    failed = lambda why: (None, None, None, None, why)
+    if data[:4] != b"fLaC":
+        yield failed("not a FLAC stream")
+        return
+    at, info, last = 4, None, False
+    while not last:
+        if at + 4 > len(data):
+            yield failed("the stream ends inside its metadata")
+            return
+        last, kind, size = bool(data[at] >> 7), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind == 0:
+            info = data[at + 4 : at + 4 + size]
+        at += 4 + size
+    if info is None or len(info) < 34:
+        yield failed("no STREAMINFO")
+        return
+    block_size = int.from_bytes(info[:2], "big")
+    packed = int.from_bytes(info[10:18], "big")
+    rate, depth, total = packed >> 44, ((packed >> 36) & 31) + 1, packed & ((1 << 36) - 1)
+    bits, position, digest = Bits(data, at, window), 0, hashlib.md5()
+    while bits.place() < len(data):
+        begin = bits.place()
+        try:
+            first, pcm, own = _frame(bits, depth, block_size, tables)
+        except (ValueError, EOFError, KeyError, IndexError) as e:
+            if not bits.last:  # the frame may go on beyond the window: move it there, or make it larger
+                if bits.start == begin:
+                    bits.window *= 2
+                bits.open(begin)
+                continue
+            yield failed(str(e) or "damaged")
+            return
+        digest.update(pack_pcm(pcm, -(-own // 8)))
+        position += len(pcm)
+        yield first, pcm, rate, own, None
+    if total and position != total:
+        yield failed("the stream ends early")
+    elif any(info[18:34]) and digest.digest() != info[18:34]:
+        yield failed("the samples fail the stream's MD5")
+
+
+def decode(data: bytes, tables: tuple, window: int = WINDOW) -> tuple[list[tuple], str | None]:
     """(blocks of (first sample, PCM (samples, channels), rate, bits), error) of a stream."""
-    blocks: list[tuple] = []
-    try:
-        if data[:4] != b"fLaC":
-            return blocks, "not a FLAC stream"
-        at, info, last = 4, None, False
-        while not last:
-            if at + 4 > len(data):
-                return blocks, "the stream ends inside its metadata"
-            last, kind, size = bool(data[at] >> 7), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
-            if kind == 0:
-                info = data[at + 4 : at + 4 + size]
-            at += 4 + size
-        if info is None or len(info) < 34:
-            return blocks, "no STREAMINFO"
-        block_size = int.from_bytes(info[:2], "big")
-        packed = int.from_bytes(info[10:18], "big")
-        rate, channels, depth, total = packed >> 44, ((packed >> 41) & 7) + 1, ((packed >> 36) & 31) + 1, packed & ((1 << 36) - 1)
-        bits, position, digest = Bits(data[at:]), 0, hashlib.md5()
-        base = at
-        while bits.at < bits.end:
-            begin = bits.at // 8
-            if bits.take(15) != 0x7FFC:
-                raise ValueError("no frame at its place")
-            variable = bits.take(1)
-            size_code, rate_code, mode, depth_code = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
-            bits.take(1)
-            number = _coded_number(bits)
-            size = {1: 192, 6: None, 7: None}.get(size_code, 576 << (size_code - 2) if 2 <= size_code <= 5 else 256 << (size_code - 8) if size_code >= 8 else 0)
-            if size_code in (6, 7):
-                size = bits.take(8 if size_code == 6 else 16) + 1
-            if not size:
-                raise ValueError("reserved block size")
-            if rate_code in (12, 13, 14):
-                bits.take(8 if rate_code == 12 else 16)
-            head = data[base + begin : base + bits.at // 8]
-            if bits.take(8) != crc8(head, tables[0]):
-                raise ValueError("the header fails its CRC-8")
-            own = {0: depth, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[depth_code]
-            if mode < 8:
-                sides = [_subframe(bits, size, own) for _ in range(mode + 1)]
-            elif mode <= 10:
-                a, b = _subframe(bits, size, own + (mode == 9)), _subframe(bits, size, own + (mode in (8, 10)))
-                if mode == 8:
-                    sides = [a, a - b]
-                elif mode == 9:
-                    sides = [a + b, b]
-                else:
-                    mid = (a << 1) | (b & 1)
-                    sides = [(mid + b) >> 1, (mid - b) >> 1]
-            else:
-                raise ValueError("reserved channel assignment")
-            bits.align()
-            body = data[base + begin : base + bits.at // 8]
-            if bits.take(16) != crc16(body, tables[1]):
-                raise ValueError("the frame fails its CRC-16")
-            pcm = np.stack(sides, axis=1)
-            blocks.append((number if variable else number * block_size, pcm, rate, own))
-            width = -(-own // 8)
-            digest.update(pack_pcm(pcm, width))
-            position += size
-        if total and position != total:
-            return blocks, "the stream ends early"
-        if any(info[18:34]) and digest.digest() != info[18:34]:
-            return blocks, "the samples fail the stream's MD5"
-        return blocks, None
-    except (ValueError, EOFError, KeyError, IndexError) as e:
-        return blocks, str(e) or "damaged"
+    got = list(frames(data, tables, window))
+    error = got.pop()[4] if got and got[-1][4] else None
+    return [f[:4] for f in got], error
 
 
 def pack_pcm(pcm: np.ndarray, width: int) -> bytes:
@@ -425,21 +459,25 @@ def _decode(tables: tuple):
     names = [x.split()[0] for x in RESULT.split(", ")]
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                out = []
-                part = batch.slice(lo, 500)
-                for key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if data is None:
-                        continue
-                    blocks, error = decode(data, tables)
-                    for b, (first, pcm, rate, bits) in enumerate(blocks):
-                        out.append((key, b, first, len(pcm), pcm.shape[1], rate, bits, pack_pcm(pcm, -(-bits // 8)), None))
+            for i in range(batch.num_rows):
+                key, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for b, (first, pcm, rate, bits, error) in enumerate(frames(data, tables) if data is not None else ()):
                     if error:
-                        out.append((key, len(blocks), None, 0, None, None, None, None, error))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+                        out.append((key, b, None, 0, None, None, None, None, error))
+                    else:
+                        out.append((key, b, first, len(pcm), pcm.shape[1], rate, bits, pack_pcm(pcm, -(-bits // 8)), None))
+                        held += len(out[-1][7]) + 200
+                    if held >= BATCH_BYTES:
+                        yield batch_of(out)
+                        out, held = [], 0
             trim()
+        yield batch_of(out)
 
     return run
 
@@ -450,10 +488,23 @@ def decode_column(media: DataFrame, id: str = "id", stream: str = "flac") -> Dat
 
 
 def seek(blocks: DataFrame, sample: int) -> DataFrame:
-    """The block of each stream that holds a sample, with the sample's place in it; the block files are pruned by first_sample."""
+    """The block of each stream that holds a sample, with the sample's place in it."""
     return blocks.where((F.col("first_sample") <= sample) & (F.lit(sample) < F.col("first_sample") + F.col("samples"))).withColumn("place", F.lit(sample) - F.col("first_sample"))
 
 
+def write_blocks(blocks: DataFrame, path: str, row_group: int = 1 << 20) -> None:
+    """The sound blocks as Parquet in the order of (id, first_sample), with end_sample, in row groups of about row_group bytes."""
+    sound = blocks.where("error IS NULL").withColumn("end_sample", F.col("first_sample") + F.col("samples"))
+    sorted_ = sound.repartitionByRange("id", "first_sample").sortWithinPartitions("id", "first_sample")
+    sorted_.write.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 10).parquet(path)
+
+
+def seek_file(spark: SparkSession, path: str, id: int, sample: int) -> DataFrame:
+    """The block of a stream that holds a sample, from a table of write_blocks(); both bounds reach the scan as pushed filters."""
+    found = spark.read.parquet(path).where((F.col("id") == id) & (F.col("first_sample") <= sample) & (F.col("end_sample") > sample))
+    return found.withColumn("place", F.lit(sample) - F.col("first_sample"))
+
+
 def signal(vector: np.ndarray, samples: int = 256) -> np.ndarray:
     """A two-channel 16-bit clip of a vector: its components as amplitudes of partials."""
     t = np.arange(samples)[:, None]
@@ -463,18 +514,20 @@ def signal(vector: np.ndarray, samples: int = 256) -> np.ndarray:
     return np.clip(np.round(np.stack((left, right), axis=1) * 4000), -32768, 32767).astype(np.int64)
 
 
-def _synthesise(tables: tuple):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                clips = [None if v is None else encode(signal(np.nan_to_num(np.array(v, dtype=float))), tables) for v in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(clips, pa.binary())], names=["id", "flac"])
-            trim()
+def _synthesise(tables: tuple, block: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        vectors = sorted((r["vec_id"] or 0, np.nan_to_num(np.array(r["embedding"], dtype=float)).tolist()) for r in table.to_pylist() if r["embedding"] is not None)
+        clip = encode(np.concatenate([signal(np.array(v)) for _, v in vectors]), tables, block=block) if vectors else None
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "flac": pa.array([clip], pa.binary())})
 
     return run
 
 
-def media_of(vectors: DataFrame) -> DataFrame:
-    """(id, flac): a media column synthesised from vectors, as the tables hold no audio."""
-    return vectors.select(F.col("vec_id").cast("bigint").alias("id"), "embedding").mapInArrow(_synthesise((_CRC8, _CRC16)), "id bigint, flac binary")
+def media_of(vectors: DataFrame, per_clip: int = 1, block: int = BLOCK) -> DataFrame:
+    """(id, flac): a media column synthesised from vectors, as the tables hold no audio.
+
+    A clip is the sound of per_clip vectors, whose vec_id divided by per_clip is its id, in
+    the order of vec_id; null vectors are left out, and a clip of null vectors only is null.
+    """
+    own = vectors.select(F.floor(F.col("vec_id") / per_clip).cast("bigint").alias("id"), F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    return own.groupBy("id").applyInArrow(_synthesise((_CRC8, _CRC16), block), "id bigint, flac binary")
