@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .blobs import cut, parts_of, ragged
 
-TOP, SHARD_CODES, GROUP_QUERIES = 10, 1 << 20, 1 << 17
+TOP, SHARD_CODES, GROUP_QUERIES = 10, 1 << 20, 1 << 20
 RESULT = "vec_id bigint, neighbour_id bigint, distance int"
 
 
@@ -115,9 +115,9 @@ class Index:
                                 keep &= apart > radius - (i > j)
                         code, query = code[keep], query[keep]
                         distance = np.bitwise_count(self.wide[code] ^ wide[query]).sum(axis=1).astype(np.int64)
-                        np.add.at(counts, (query, distance), 1)
-                        bound = self._bound(counts[q], k)
-                        near = distance <= bound[np.searchsorted(q, query)]
+                        place = np.searchsorted(q, query)
+                        counts[q] += np.bincount(place * (self.dims + 1) + distance, minlength=len(q) * (self.dims + 1)).reshape(len(q), -1)
+                        near = distance <= self._bound(counts[q], k)[place]
                         found.append((query[near], code[near], distance[near]))
                 covered = self.m * radius + j
                 active = active[self._bound(counts[active], k) > covered]
@@ -175,8 +175,9 @@ def top_k(vectors: DataFrame, k: int = TOP, shard_codes: int = SHARD_CODES, grou
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
     codes = cut(rows.mapInArrow(_codes, "vec_id bigint, dims int, code binary").groupBy("vec_id").agg(F.min(F.struct("dims", "code")).alias("c")).select("vec_id", "c.dims", "c.code"))
     n = codes.count()
-    shards, groups = max(1, -(-n // shard_codes)), max(-(-n // group_queries), 2 * parts_of(spark))
-    # only the shards' packed codes are copied to the groups of queries, and the queries to the shards
+    shards = max(1, -(-n // shard_codes))
+    # a shard's packed codes are copied to the groups of queries and indexed in each, so there are no more groups than keep the cluster busy
+    groups = max(-(-n // group_queries), -(-2 * parts_of(spark) // shards))
     base = codes.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("dims", "shard").applyInArrow(_shard, "dims int, shard bigint, ids binary, codes binary")
     base = base.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = codes.select(F.col("dims").alias("d"), "vec_id", "code", F.pmod(F.hash("vec_id"), F.lit(groups)).alias("h")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))

@@ -7,7 +7,9 @@ one row a block (first key, place, length); above it stands one row a file with
 first and last key.  Files go to the shared folder under names no other attempt
 uses, so a lost task leaves nothing that a directory row names.
 
-Lookup: the file table sends each key to the files that may hold it; there a binary
+Lookup: a binary search over the files' first and last keys sends each key to the files
+that may hold it (the table of files is sent along while it is small, joined else), one
+group a file, which AQE doesn't merge; there a binary
 search over the sparse directory gives the blocks, each is read by range and
 decompressed once, a second binary search finds the lines, and each record is read by
 range from its WARC file, decompressed and checked against its SHA-1.
@@ -17,7 +19,9 @@ and path and query; scheme, user, port and fragment don't count, case counts aft
 host only.  "https://www.Example.com/a?b=1#c" gives "com,example)/a?b=1".
 
 Defined cases: rows with a null url or html take no part, a null page_id stays; an
-empty html is a record of length 0; a url without a host has the key ")" and its
+empty html is a record of length 0; control characters of a url stand in the record's
+header as %XX, while the index keeps the url as it is (backslashes escape tabs and line
+feeds there); a url without a host has the key ")" and its
 path; captures of one key are all found, by page_id; repeated rows are captures of
 their own; further columns are ignored; an empty table gives an empty index and no
 rows.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,9 +41,10 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blobs import cut, parts_of, shared_dir, trim
+from .blobs import cut, new_path, parts_of, received, send, trim
 
-BLOCK_LINES = 512
+#: The table of files travels to the executors while its keys take at most so many bytes.
+BLOCK_LINES, FILE_BYTES = 512, 64 << 20
 _BLOCKS = "file string, warc string, block int, first_key string, last_key string, offset bigint, length bigint, lines int"
 _FOUND = "url_key string, page_id bigint, url string, html string, block int"
 
@@ -61,6 +67,7 @@ def record(url: str, page_id, html: str) -> tuple[bytes, str]:
     """(WARC response record, SHA-1 of its payload)."""
     payload = html.encode()
     digest = hashlib.sha1(payload).hexdigest()
+    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n"
     return head.encode() + payload + b"\r\n\r\n", digest
 
@@ -105,8 +112,7 @@ def _write(folder: str, block_lines: int):
                 raw, _ = record(url, page, html)
                 raw = _gzip(raw)
                 warc.write(raw)
-                # a key holds no tab after escaping
-                lines.append("\t".join((key.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n"), "" if page is None else str(page), url.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n"), str(at), str(len(raw)))))
+                lines.append("\t".join((_escaped(key), "" if page is None else str(page), _escaped(url), str(at), str(len(raw)))))
                 keys.append(key)
                 at += len(raw)
                 if len(lines) == block_lines:
@@ -124,7 +130,7 @@ def _write(folder: str, block_lines: int):
 def build(pages: DataFrame, block_lines: int = BLOCK_LINES, folder: str | None = None) -> tuple[DataFrame, str]:
     """(sparse directory, folder) of an index over all pages."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or new_path(spark)
     if "://" not in folder and folder.startswith("file:"):
         folder = "file://" + folder[5:]
     rows = pages.select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html").where("url IS NOT NULL AND html IS NOT NULL")
@@ -132,8 +138,13 @@ def build(pages: DataFrame, block_lines: int = BLOCK_LINES, folder: str | None =
     return cut(rows.mapInArrow(_write(folder, block_lines), _BLOCKS)), folder
 
 
+def _escaped(x: str) -> str:
+    """Without tabs and line feeds."""
+    return x.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n")
+
+
 def _plain(x: str) -> str:
-    return x.replace("\\\\", "\0").replace("\\t", "\t").replace("\\n", "\n").replace("\0", "\\")
+    return re.sub(r"\\(.)", lambda m: {"t": "\t", "n": "\n"}.get(m[1], m[1]), x) if "\\" in x else x
 
 
 def _find(folder: str):
@@ -171,10 +182,36 @@ def _find(folder: str):
 
 def lookup(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
     """(url_key, page_id, url, html, block) of all captures of the keys (a frame with url_key)."""
-    # one row a file: as many as the build had partitions, so it is broadcast at any size
-    files = directory.groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
-    asked = keys.select("url_key").where("url_key IS NOT NULL").distinct().join(F.broadcast(files), (F.col("url_key") >= F.col("low")) & (F.col("url_key") <= F.col("high"))).select(F.col("file").alias("in_file"), "url_key")
-    return directory.groupBy("file").cogroup(asked.groupBy("in_file")).applyInArrow(_find(folder), _FOUND)
+    spark = directory.sparkSession
+    files = cut(directory.groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")))
+    asked = keys.select("url_key").where("url_key IS NOT NULL").distinct()
+    size = files.agg(F.sum(F.length("low") + F.length("high") + 64)).first()[0] or 0
+    if size <= FILE_BYTES:
+        table = sorted((r.low, r.high, r.file) for r in files.collect())
+        asked = asked.mapInArrow(_placed(send(spark, tuple(zip(*table)))), "in_file string, url_key string")
+    else:
+        asked = asked.join(files, (F.col("url_key") >= F.col("low")) & (F.col("url_key") <= F.col("high"))).select(F.col("file").alias("in_file"), "url_key")
+    parts = parts_of(spark)
+    return directory.repartition(parts, "file").groupBy("file").cogroup(asked.repartition(parts, "in_file").groupBy("in_file")).applyInArrow(_find(folder), _FOUND)
+
+
+def _placed(sent):
+    """Keys -> (file that may hold the key, key): files are ranges in the order of keys, so their last keys ascend too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = received(sent)
+        low, high, file = table or ((), (), ())
+        for batch in batches:
+            names, asked = [], []
+            for key in batch.column(0).to_pylist():
+                k = bisect.bisect_left(high, key)
+                while k < len(low) and low[k] <= key:
+                    names.append(file[k])
+                    asked.append(key)
+                    k += 1
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(asked, pa.string())], names=["in_file", "url_key"])
+
+    return run
 
 
 def captures(pages: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
