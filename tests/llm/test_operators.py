@@ -354,7 +354,7 @@ def test_flac_by_hand():
 
 
 def test_sentencepiece(docs, none):
-    sp = sentencepiece_codec.processor(open(sentencepiece_codec.MODEL, "rb").read())
+    sp = sentencepiece_codec.processor(open(queries.PIECES, "rb").read())
     encoder, decoder = sentencepiece_codec.Encoder(sp, max_chunks=3), sentencepiece_codec.Decoder(sp)
     assert encoder.by_chunk
     texts = ["a  b", "  lead", " x", "trail ", "trail   ", "", None, " ", "tab\tx\n\n y", "é日本 ▁z 😀", "a\n  b", "plain words here", "plain words here"]
@@ -362,6 +362,123 @@ def test_sentencepiece(docs, none):
         ids = encoder.encode(pa.array(texts))
         assert ids.to_pylist() == [None if t is None else sp.encode(t) for t in texts]
     assert decoder.decode(ids).to_pylist() == [None if t is None else sp.decode(sp.encode(t)) for t in texts]
-    got = sentencepiece_codec.encode_decode(docs).collect()
-    assert len(got) == docs.count() and all(r.decoded is None or r.ids is not None for r in got) and sentencepiece_codec.encode_decode(none).count() == 0
+    got = sentencepiece_codec.encode_decode(docs, queries.PIECES).collect()
+    assert len(got) == docs.count() and all(r.decoded is None or r.ids is not None for r in got) and sentencepiece_codec.encode_decode(none, queries.PIECES).count() == 0
     assert [r.decoded for r in got] == [r.text for r in docs.collect()]
+
+
+def test_sentencepiece_distinct(spark, corpus, docs):
+    """Each distinct marked word of the corpus is segmented once, whatever batch it stands in; ids equal the library's."""
+    model = open(queries.PIECES, "rb").read()
+    sp = sentencepiece_codec.processor(model)
+    spread = corpus.repartition(3)
+    made = sentencepiece_codec.chunk_answers(spread, sentencepiece_codec.send(spark, model)).agg(F.sum("made")).first()[0]
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    chunks = set()
+    for t in texts.values():
+        chunks |= {x[1:] for x in re.findall(" +[^ ]*", " " + t.replace("\u2581", " "))} if "  " not in t and t.strip(" ") == t and t else {x[1:] for x in re.findall(" +[^ ]+| +$", " " + t)} if t else set()
+    assert made == len(chunks)
+    for r in sentencepiece_codec.encode_decode(spread, queries.PIECES).collect():
+        assert r.ids == sp.encode(texts[r.doc_id]) and r.n_ids == len(r.ids) and r.decoded == texts[r.doc_id]
+
+
+def test_sentencepiece_decode(spark):
+    sp = sentencepiece_codec.processor(open(queries.PIECES, "rb").read())
+    long = "word " * 50_000
+    rows = [(1, sp.encode("plain  text é日😀"), 5), (2, None, 6), (3, [], 7), (4, [None, *sp.encode("x y")], 8), (5, [10**6], 9), (6, [3 + 0xFF], 1), (1, sp.encode("plain  text é日😀"), 5), (7, sp.encode(long), 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>, part int")
+    got = [(r.doc_id, r.decoded) for r in sentencepiece_codec.decode(df, queries.PIECES).collect()]
+    assert got == [(1, "plain  text é日😀"), (2, None), (3, ""), (4, "x y"), (5, "⁇ "), (6, "\ufffd"), (1, "plain  text é日😀"), (7, long)]
+    assert sentencepiece_codec.decode(df.limit(0), queries.PIECES).count() == 0
+
+
+def test_flac_long_and_seek(spark, tmp_path):
+    """A stream is decoded through a small window, blocks come as they are decoded, and a seek reads by pushed bounds."""
+    import tracemalloc
+
+    tables, rng = (flac._CRC8, flac._CRC16), np.random.default_rng(1)
+    x = rng.integers(-30000, 30000, (80_000, 2))
+    stream = flac.encode(x, tables, block=4096, linear=0)
+    tracemalloc.start()
+    done = 0
+    for first, pcm, _, _, error in flac.frames(stream, tables):
+        assert error is None and first == done and np.array_equal(pcm, x[first : first + len(pcm)])
+        done += len(pcm)
+    assert done == len(x) and tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    for window in (32, 1000):
+        assert flac.decode(flac.encode(x[:3000], tables, block=1024), tables, window)[1] is None
+    media = spark.createDataFrame([(1, bytearray(stream)), (2, bytearray(stream))], "id bigint, flac binary")
+    flac.write_blocks(flac.decode_column(media), str(tmp_path / "blocks"))
+    found = flac.seek_file(spark, str(tmp_path / "blocks"), 2, 61_234)
+    r = found.first()
+    assert found.count() == 1 and np.frombuffer(bytes(r.pcm), dtype="<i2").reshape(-1, 2)[r.place].tolist() == x[61_234].tolist()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = flac.seek_file(spark, str(tmp_path / "blocks"), 2, 61_234)._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThanOrEqual(first_sample,61234)" in plan and "GreaterThan(end_sample,61234)" in plan
+
+
+def test_flac_linear_by_hand():
+    """A linear predictor of order 2 written bit by bit: the samples follow from the coefficients by hand."""
+    tables = (flac._CRC8, flac._CRC16)
+    w = flac._Writer()
+    for value, count in ((0x7FFC, 15), (0, 1), (6, 4), (0, 4), (0, 4), (4, 3), (0, 1), (0, 8), (5, 8)):
+        w.put(value, count)
+    w.put(flac.crc8(w.bytes(), tables[0]), 8)
+    # order 2, warm 100 and 110; coefficients 3 and -1 of 4 bits, shift 1: (3 x[-1] - x[-2]) >> 1
+    residual = [1, -2, 0, 3]
+    for value, count in ((0, 1), (33, 6), (0, 1), (100, 16), (110, 16), (3, 4), (1, 5), (3, 4), (-1 & 15, 4), (0, 2), (0, 4), (1, 4)):
+        w.put(value, count)
+    for v in residual:  # Rice parameter 1
+        u = 2 * v if v >= 0 else -2 * v - 1
+        w.put(1, (u >> 1) + 1)
+        w.put(u & 1, 1)
+    body = w.bytes()
+    stream = b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + bytes([0, 16, 0, 16]) + bytes(6) + ((8000 << 44) | (15 << 36) | 6).to_bytes(8, "big") + bytes(16) + body + flac.crc16(body, tables[1]).to_bytes(2, "big")
+    want = [100, 110]
+    for v in residual:
+        want.append(v + ((3 * want[-1] - want[-2]) >> 1))
+    out, error = flac.decode(stream, tables)
+    assert error is None and out[0][1][:, 0].tolist() == want
+
+
+def test_warc_odd_urls(spark):
+    """Line breaks, tabs, NULs and backslashes in URLs neither break records nor lose keys."""
+    urls = ["http://a.com/x\r\nFake: y", "http://a.com/t\tb", "http://a.com/n\0l", "http://a.com/b\\n", "http://a.com/plain", "http://b.com/" + "z" * 50_000]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}", 1, 2) for i, u in enumerate(urls)], "page_id bigint, url string, html string, block int, file int")
+    directory, folder = warc_index.build(pages, block_lines=2)
+    keys = pages.select(warc_index.url_key(F.col("url")).alias("url_key"))
+    found = warc_index.lookup(directory, folder, keys)
+    assert {r.page_id: (r.url, r.html) for r in found.collect()} == {i: (u, f"<p>{i}") for i, u in enumerate(urls)}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+def test_line_dedup_names_and_many_drops(spark):
+    """Columns with names like internal ones stay, and a document of very many dropped lines is filtered in linear time."""
+    many = "\n".join(f"this very line is repeated again and again {i % 3}" for i in range(30_000))
+    rows = [(1, "first line of some length here\nsecond line that is other", "n", "d", "t", "i"), (2, many, "n", "d", "t", "i")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __numbers string, __doc string, __text string, number string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1].text == rows[0][1] and got[1]["__numbers"] == "n" and got[2].text.count("\n") <= 2
+
+
+def test_components(spark):
+    """Chains, stars and cycles against plain union-find."""
+    from verbena.llm.pairs import components
+
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 300)] + [tuple(map(int, e)) for e in rng.integers(2000, 2400, (250, 2))] + [(5, 5)]
+    root = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {n: find(n) for n in root if find(n) != n}
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "x bigint, y bigint").repartition(4)).collect()}
+    assert got == want
