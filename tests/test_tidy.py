@@ -306,3 +306,79 @@ def test_plans(abc):
     grouped = plan(abc.group_by("a").mutate(m=v.mean(c.b), x=v.maximum(c.c)))
     assert grouped.count("Exchange hashpartitioning") == 1
     assert "WindowGroupLimit" in plan(abc.distinct("a"))
+
+
+def test_change_log(spark, capsys):
+    """The messages of the change log, word for word."""
+    from verbena.operators.inspect import report, with_copies
+
+    t = v.from_rows(spark, [("a", "A", 1), ("a", "B", 2), ("b", "A", 3), ("b", "B", 4)], "label string, name string, num int")
+    assert report("select", t, t.select("name", "num")) == '@select removed: ["label"] '
+    assert report("mutate", t, t.mutate(num2=v.vector(2, 3, 4, 5))) == '@mutate: new variable "num2" with 4 unique values and 0.0% missing.'
+    assert report("filter", t, t.filter(c.name == "A")) == "@filter: removed 2 rows (50.0%), 2 rows remaining. "
+    assert report("transmute", t, t.transmute(labelstring=c.label)) == '@transmute removed: ["label", "name", "num"] \n\t@transmute: new variable "labelstring" with 2 unique values and 0.0% missing. '
+    assert report("summarize", t, t.summarize(n=v.sum_(c.num))) == "@summarize returned a DataFrame (1 row, 1 column). "
+    grouped = t.group_by("label")
+    assert report("group_by", t, grouped) == '@group_by added groups: ["label"]' and report("ungroup", grouped, grouped.ungroup()) == '@ungroup removed groups: ["label"]'
+    double = t.bind_rows(t)
+    assert report("distinct", double, double.distinct()) == "@distinct: removed 4 rows (50.0%), 4 rows remaining. "
+    a, b = v.from_rows(spark, [("a", 1), ("b", 2)], "a string, b int"), v.from_rows(spark, [("a", 3), ("c", 4)], "a string, c int")
+    assert report("left_join", a, a.left_join(b, by="a")) == '@left_join: added 1 new column(s): ["c"].\n\t- Dimension Change: 2×2 -> 2×3\n'
+    d = v.from_rows(spark, [(0.3,), (2.0,), (None,), (3.0,), (None,), (5.0,), (6.0,), (None,)], "dt2 double")
+    assert report("fill_missing", d, with_copies(d).fill_missing("dt2")) == '@fill_missing: changed 3 values (38.0%) of "dt2" (3 replaced missing)'
+    u = v.from_rows(spark, [("1", "1", None), ("2", "2", None), ("3", "3", "3")], "b string, c string, d string")
+    assert report("unite", u, u.unite("new_col", ["b", "c", "d"], "-")) == '@unite: added variable "new_col" with 3 unique value(s), 0.0% missing\n\t\tremoved 3 columns: ["b", "c", "d"]\n'
+    s = v.from_rows(spark, [("1-1",), ("2-2",)], "a string")
+    assert report("separate", s, s.separate("a", ["x", "y"], "-")).startswith('@separate added 2 new columns and removed column "a" \n\t- x: 2 unique values, 0.0% missing')
+    v.settings(log=True)
+    t.mutate(num=c.num + 1)
+    v.settings(log=False)
+    assert '@mutate: changed 4 values (100.0%) of "num"' in capsys.readouterr().out
+
+
+def test_visible_positions_and_ranges(spark):
+    f = v.from_rows(spark, [(1, "x"), (2, "y")], "a int, b string")
+    for wrong in (lambda: f.select(3), lambda: f.select(1, 3)):
+        with pytest.raises(IndexError):
+            wrong()
+    assert f.mutate(v.across(v.where(v.is_number), v.sum_)).columns == ["a", "b", "a_sum"]
+    assert f.slice(2).rows() == [(2, "y")]
+    for wrong in (f.slice(3), f.slice(1, 3), f.slice(-3)):
+        with pytest.raises(Exception, match="beyond the last row"):
+            wrong.rows()
+    with pytest.raises(ValueError, match="no aggregate"):
+        f.group_by("b").summarize(x=c.a)
+
+
+def test_conversions_by_type(spark):
+    f = v.from_rows(spark, [(9223372036854775807, True, float("nan"), "9223372036854775807"), (-5, False, -1.5, " 7.9 "), (None, None, 1e300, "x")], "i bigint, b boolean, d double, s string")
+    got = f.transmute(i=v.as_integer(c.i), b=v.as_integer(c.b), d=v.as_integer(c.d), s=v.as_integer(c.s)).rows()
+    assert got == [(9223372036854775807, 1, None, 9223372036854775807), (-5, 0, -2, 7), (None, None, None, None)]
+    assert f.transmute(b=v.as_float(c.b), s=v.as_float(c.s)).rows()[1:] == [(0.0, 7.9), (None, None)]
+
+
+def test_stream_guard_across(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    stream = v.tidy(spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")))
+    with pytest.raises(TypeError):
+        stream.mutate(v.across("id", v.mean))
+    assert stream.mutate(v.across("id", v.as_string)).columns == ["id", "id_as_string"]
+
+
+def test_same_plans_as_by_hand(spark, data):
+    """The benchmark shapes give the optimized plan of hand-written code."""
+    import re
+
+    from pyspark.sql import functions as F
+    from verbena.plans.queries import queries
+
+    t = spark.read.parquet(f"{data}/lineitem.parquet")
+    hand = {
+        "bench_filter": t.where((F.col("l_quantity") > 20) & (F.col("l_discount") > 0.04)),
+        "bench_count": t.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")),
+        "bench_product": t.select("l_orderkey", (F.col("l_extendedprice") * F.col("l_discount")).alias("cut")),
+        "bench_select": t.select("l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+    }
+    plan = lambda df: re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+    for name, df in hand.items():
+        assert plan(queries()[name](spark, data)) == plan(df), name

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .functions.expr import quote
 from .operators.grouping import Grouping
-from .operators.inspect import _SETTINGS, Inspect, report
+from .operators.inspect import _SETTINGS, Inspect, report, with_copies
 from .operators.joins import Joins
 from .operators.nesting import Nesting
 from .operators.projection import Projection
@@ -61,7 +61,9 @@ class TidyFrame(Projection, Rows, Grouping, Joins, Reshape, Nesting, Inspect):
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType([f for f in self.df.schema if not f.name.startswith("__verbena_")])
+        out = T.StructType([f for f in self.df.schema if not f.name.startswith("__verbena_")])
+        out._verbena_frame = self  # for where() on the data of a column
+        return out
 
     def _visible(self) -> DataFrame:
         return self.df.select(*[quote(n) for n in self.columns]) if self._hidden() else self.df
@@ -102,7 +104,8 @@ def _watched(name: str, verb: Callable) -> Callable:
         if _SETTINGS["code"]:
             out.df.explain("formatted")
         if _SETTINGS["log"]:
-            print("\n".join(report(name, self, out)))
+            seen = verb(with_copies(self), *args, **kwargs) if name in ("mutate", "fill_missing") else out
+            print(report(name, self, seen))
         return out
 
     run.__name__, run.__doc__ = name, verb.__doc__

@@ -116,7 +116,12 @@ c = _Columns()
 
 def scalar(fn: Callable, name: str) -> Callable:
     """A function of Columns as a function of expressions."""
-    return lambda *args: Expr("scalar", lambda _c, *a: fn(*a), args, name)
+
+    def make(*args) -> Expr:
+        return Expr("scalar", lambda _c, *a: fn(*a), args, name)
+
+    make.__name__ = name
+    return make
 
 
 def agg(fn: Callable, name: str) -> Callable:

@@ -7,6 +7,7 @@ import operator
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
 from .expr import Expr, Vector, as_expr, lit, scalar
 
@@ -116,24 +117,45 @@ def argmax(x) -> Expr:
     return Expr("agg", lambda ctx, a, r: ctx.lift(F.max_by(r, F.struct(a, -r))), (x, row_number()), "argmax")
 
 
-def user_agg(fn, returns: str = "double"):
-    """Register a Python function of pandas Series as an aggregate (grouped-aggregate pandas UDF)."""
-    import pandas as pd
+#: User functions by name, which parse() finds: name -> function of expressions.
+REGISTERED: dict = {}
 
-    def run(*series):
-        return fn(*series)
 
-    run.__annotations__ = {"series": pd.Series, "return": float if returns == "double" else int if returns in ("int", "bigint") else str}
+def register(name: str, fn) -> None:
+    """Make a function of expressions known to parse() by name."""
+    REGISTERED[name] = fn
+
+
+def user_agg(fn, returns: str = "double", name: str | None = None):
+    """A Python function of pandas Series as an aggregate (grouped-aggregate pandas UDF); with name, parse() knows it."""
+    udf = F.pandas_udf(fn, returns, PandasUDFType.GROUPED_AGG)
+    return _user("agg", lambda ctx, *a: ctx.lift(udf(*a)), fn, name)
+
+
+def user_fn(fn, returns: str = "double", name: str | None = None):
+    """A plain Python function, called for each row's values, as a function of expressions; values travel in Arrow batches.
+
+    vectorized_fn() takes a function of pandas Series, which costs far less.
+    """
+    udf = F.udf(fn, returns, useArrow=True)
+    return _user("scalar", lambda _c, *a: udf(*a), fn, name)
+
+
+def vectorized_fn(fn, returns: str = "double", name: str | None = None):
+    """A function of pandas Series that gives a Series of the same length, as a function of expressions."""
+    udf = F.pandas_udf(fn, returns, PandasUDFType.SCALAR)
+    return _user("scalar", lambda _c, *a: udf(*a), fn, name)
+
+
+def _user(kind: str, build, fn, name: str | None):
+    label = name or getattr(fn, "__name__", "function")
 
     def make(*args):
-        width = len(args)
-        names = [f"a{i}" for i in range(width)]
-        scope: dict = {"fn": fn, "pd": pd}
-        back = {"double": "float", "bigint": "int", "int": "int"}.get(returns, "str")
-        exec(f"def udf({', '.join(f'{x}: pd.Series' for x in names)}) -> {back}:\n    return fn({', '.join(names)})", scope)
-        return Expr("agg", lambda ctx, *a: ctx.lift(F.pandas_udf(scope["udf"], returns)(*a)), args, getattr(fn, "__name__", "function"))
-
-    make.__name__ = getattr(fn, "__name__", "function")
+        return Expr(kind, build, args, label)
+
+    make.__name__ = label
+    if name:
+        register(name, make)
     return make
 
 
@@ -226,22 +248,42 @@ def chain(*parts) -> Expr:
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(Infinity|Inf|NaN)\s*$"
 
 
-def _to_double(a):
-    text = a.cast("string")
-    return F.when(text.rlike(_NUMBER), F.expr("1") * text.try_cast("double"))
+def _parsed(text):
+    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+
+
+def _floored(a):
+    """Floor as a bigint, missing where it doesn't fit."""
+    return F.when((a >= F.lit(-(2.0**63))) & (a < F.lit(2.0**63)), F.floor(a).cast("bigint"))
 
 
-as_float = scalar(_to_double, "as_float")
+def _to_double(ctx, a):
+    kind = ctx.kind(a)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return a.cast("double")
+    return _parsed(a.cast("string"))
 
 
-def _to_integer(a):
-    """Floor, like a conversion by way of a float; whole numbers skip it, so that they stay exact."""
+def _to_integer(ctx, a):
+    """Floor, like a conversion by way of a float; what is a whole number skips it, so that it stays exact."""
+    kind = ctx.kind(a)
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return a.cast("bigint")
+    if isinstance(kind, T.FractionalType):
+        return F.floor(a).try_cast("bigint") if isinstance(kind, T.DecimalType) else _floored(a)
     text = a.cast("string")
-    value = F.floor(_to_double(a))
-    return F.when(text.rlike(r"^[+-]?\d{1,18}$"), text.try_cast("bigint")).when((F.abs(value) < F.lit(9.2e18)), value.try_cast("bigint"))
+    return F.when(text.rlike(r"^\s*[+-]?\d{1,19}\s*$"), F.trim(text).try_cast("bigint")).otherwise(_floored(_parsed(text)))
+
+
+def as_float(x) -> Expr:
+    """Numbers and booleans as doubles; text that isn't a number, and other types, are missing."""
+    return Expr("scalar", _to_double, (x,), "as_float")
+
+
+def as_integer(x) -> Expr:
+    return Expr("scalar", _to_integer, (x,), "as_integer")
 
 
-as_integer = scalar(_to_integer, "as_integer")
 as_string = scalar(lambda a: a.cast("string"), "as_string")
 
 # ---- strings and numbers ---------------------------------------------------

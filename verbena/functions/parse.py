@@ -52,8 +52,9 @@ def _node(x: ast.AST, values: dict):
                 out = test if out is None else out & test
             return out
         case ast.Call():
-            if not isinstance(x.func, ast.Name) or x.func.id not in _CALLS:
+            known = _CALLS | library.REGISTERED
+            if not isinstance(x.func, ast.Name) or x.func.id not in known:
                 raise ValueError(f"unknown function in {ast.unparse(x)}")
             plain = [ast.literal_eval(a) if isinstance(a, ast.Constant) else _node(a, values) for a in x.args]
-            return _CALLS[x.func.id](*plain, **{k.arg: ast.literal_eval(k.value) for k in x.keywords})
+            return known[x.func.id](*plain, **{k.arg: ast.literal_eval(k.value) for k in x.keywords})
     raise ValueError(f"can't read {ast.unparse(x)}")

@@ -36,8 +36,10 @@ class Grouping:
                 out.append(F.array(*[ctx.compile(as_expr(x)) for x in e.items]).alias(name))
                 vectors.append(name)
             else:
+                if not e.deep() and e.columns() and not set(e.columns()) <= set(self.groups):
+                    raise ValueError(f"summarize: {name} is no aggregate; take one, such as first(x), which needs a row order")
                 column = ctx.compile(e)
-                out.append((column if e.deep() or e.column in self.groups else F.first(column)).alias(name))
+                out.append((column if e.deep() else F.first(column)).alias(name))
         keys = [quote(g) for g in self.groups]
         df = ctx.df.groupBy(*keys).agg(*out) if keys else ctx.df.agg(*out)
         if vectors:

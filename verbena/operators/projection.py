@@ -25,7 +25,7 @@ def expand(tf, items: dict) -> dict[str, Expr]:
 
 def _across(tf, a: Across) -> dict[str, Expr]:
     columns = a.columns if isinstance(a.columns, (list, tuple)) else [a.columns]
-    names = [n for n in resolve(tf.df.schema, columns) if n not in tf.groups]
+    names = [n for n in resolve(tf.schema, columns) if n not in tf.groups]
     weights = {f.weight for f in a.fns if isinstance(f, Weighted)}
     if weights:
         fields = {f.name: f for f in tf.df.schema}
@@ -49,7 +49,7 @@ class Projection:
         renames = {new: old for new, old in computed.items() if isinstance(old, str) or (isinstance(old, Expr) and old.kind == "col")}
         exprs = {k: v for k, v in computed.items() if k not in renames}
         frame = self.mutate(**exprs) if exprs else self
-        names = resolve(frame.df.schema, items) if items else []
+        names = resolve(frame.schema, items) if items else []
         plan = [(n, n) for n in self.groups if n not in names and n not in [r if isinstance(r, str) else r.column for r in renames.values()]] + [(n, n) for n in names]
         for new, old in computed.items():
             old = new if new in exprs else old if isinstance(old, str) else old.column

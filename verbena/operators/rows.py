@@ -47,9 +47,16 @@ class Rows:
             return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*[quote(g) for g in self.groups]))), name
         return df.crossJoin(F.broadcast(self.df.agg(F.count(F.lit(1)).alias(name)))), name
 
+    def _checked(self, df, most: int):
+        """df, with an error when its rows are asked for and the ungrouped frame has fewer than most rows."""
+        ok = temp("k")
+        enough = F.when(F.count(F.lit(1)) >= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"slice: position {most} is beyond the last row")).cast("boolean"))
+        return df.crossJoin(F.broadcast(self.df.agg(enough.alias(ok)))).where(F.col(ok)).drop(ok)
+
     def slice(self, *positions):
         """Rows by 1-based position, per group: ints, ranges and "n" (the last); all positive, in the order given
-        and with repeats, or all negative, to drop."""
+        and with repeats, or all negative, to drop. Without groups, a position beyond the last row is an error when
+        the rows are asked for; a group that has fewer rows gives those it has."""
         flat: list = []
         for p in positions:
             flat += list(p) if isinstance(p, (range, list, tuple)) else [p]
@@ -63,8 +70,10 @@ class Rows:
         ints = [p for p in flat if isinstance(p, int)]
         if not self.groups and not minus and len(ints) == len(flat) and flat == list(range(flat[0], flat[-1] + 1)):
             sort = Context(self.df, (), self.order, "row").sort()
-            return self._with(self.df.orderBy(*sort).offset(flat[0] - 1).limit(len(flat)))
+            return self._with(self._checked(self.df.orderBy(*sort).offset(flat[0] - 1).limit(len(flat)), flat[-1]))
         df, r = self._numbered()
+        if not self.groups and ints:
+            df = self._checked(df, max(abs(p) for p in ints))
         size = None
         if len(ints) != len(flat):
             df, size = self._sizes(df)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import types as T
 
-from ..functions.expr import Expr
+from ..functions.expr import Expr, col
 
 
 class Selector:
@@ -55,9 +55,24 @@ def everything() -> Selector:
     return _names(lambda _x: True)
 
 
-def where(test: Callable[[T.DataType], bool]) -> Selector:
-    """Columns whose type passes a predicate such as is_number."""
-    return Selector(lambda s: [f.name for f in s if test(f.dataType)])
+def where(test: Callable) -> Selector:
+    """Columns that pass a predicate: of their type, such as is_number, or of their data, as an aggregate expression
+    such as lambda x: mean(x) > 5, which takes one job over all columns, as the names depend on it."""
+
+    def pick(s: T.StructType) -> list[str]:
+        found = [test(f.dataType) for f in s]
+        if not any(isinstance(x, Expr) for x in found):
+            return [f.name for f, yes in zip(s, found) if yes]
+        from ..plans.context import Context
+
+        frame = getattr(s, "_verbena_frame", None)
+        if frame is None:
+            raise ValueError("where on data needs a frame")
+        ctx = Context(frame.df, (), frame.order, "summarize")
+        row = ctx.df.agg(*[ctx.compile(test(col(n))).cast("boolean").alias(f"c{i}") for i, n in enumerate(s.names)]).first()
+        return [n for n, yes in zip(s.names, row) if yes]
+
+    return Selector(pick)
 
 
 def between(start, stop) -> Selector:

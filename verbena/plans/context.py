@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import count
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ class Context:
         self.pending: list[tuple[str, Column]] = []
 
     # -- pieces used by expressions
+    def kind(self, column: Column):
+        """The data type of a compiled column, by analysis only."""
+        try:
+            return self.df.select(column.alias("x")).schema[0].dataType
+        except AnalysisException:  # it holds an aggregate that is staged later
+            return None
+
     def sort(self) -> list[Column]:
         if not self.order:
             raise OrderRequired("this needs a row order: arrange() first, or make the frame with order_by= or assume_order=True")
@@ -70,8 +78,12 @@ class Context:
         return F.size(F.collect_set(column).over(self.window()))
 
     def total(self) -> Column:
+        """The number of all rows; in summarize a one-row count, joined before the groups are made."""
         name = temp("n")
-        return F.lit(self.df.count()) if self.mode == "summarize" else F.lit(1) * self._global(name)
+        if self.mode == "summarize":
+            self.df = self.df.crossJoin(F.broadcast(self.df.agg(F.count(F.lit(1)).alias(name))))
+            return F.max(F.col(name))
+        return F.lit(1) * self._global(name)
 
     def _global(self, name: str) -> Column:
         self.pending.append((name, F.count(F.lit(1))))

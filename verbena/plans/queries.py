@@ -561,3 +561,161 @@ def bench_select(t):
 
 
 BENCH = ("bench_filter", "bench_count", "bench_product", "bench_six", "bench_grouped", "bench_select")
+
+
+# ---- order, sampling, conversions, user functions: what the queries above leave out --------------
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders")
+def arrange_order(t):
+    return t("orders").arrange(L.desc("o_totalprice"), "o_orderkey").mutate(r=L.row_number()).select("o_orderkey", "r")
+
+
+@query("SELECT o_orderpriority, n, row_number() OVER (ORDER BY n DESC, o_orderpriority) AS r FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)")
+def count_sort_order(t):
+    counted = t("orders").count("o_orderpriority", sort=True)
+    # the order that count() set, with the key for ties
+    return counted.arrange(*[L.desc(n) if d else n for n, d in counted.order], "o_orderpriority").mutate(r=L.row_number())
+
+
+@query("SELECT 50 AS n, 50 AS known, 50 AS distinct_rows")
+def slice_sample_members(t):
+    sample = t("orders").slice_sample(n=50).select("o_orderkey")
+    sample = sample.left_join(t("orders").transmute("o_orderkey", there=c.o_orderkey), by="o_orderkey")
+    return sample.summarize(n=L.n(), known=L.sum_(~L.ismissing(c.there)), distinct_rows=L.n_distinct(c.o_orderkey))
+
+
+@query("SELECT o_orderstatus, count(*) // 2 AS n FROM orders GROUP BY 1")
+def slice_sample_replace(t):
+    return t("orders").group_by("o_orderstatus").slice_sample(prop=0.5, replace=True).count("o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_orderkey + 1234567890123456789 AS a, o_orderkey + 1234567890123456789 AS b, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END::BIGINT AS f, floor(o_totalprice)::BIGINT AS p, floor(-o_totalprice)::BIGINT AS m FROM orders")
+def as_integer_bigint(t):
+    big = c.o_orderkey + L.scalar_(lambda: F.lit(1234567890123456789))()
+    return t("orders").mutate(a=L.as_integer(big), b=L.as_integer(L.as_string(big)), f=L.as_integer(c.o_orderstatus == "F"), p=L.as_integer(c.o_totalprice), m=L.as_integer(-c.o_totalprice)).select("o_orderkey", "a", "b", "f", "p", "m")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS f, o_custkey::DOUBLE AS k, NULL::DOUBLE AS s FROM orders")
+def as_float_bool(t):
+    return t("orders").mutate(f=L.as_float(c.o_orderstatus == "F"), k=L.as_float(c.o_custkey), s=L.as_float(c.o_orderpriority)).select("o_orderkey", "f", "k", "s")
+
+
+@query("SELECT l_returnflag, median(d) AS mad FROM (SELECT l_returnflag, abs(l_quantity - median(l_quantity) OVER (PARTITION BY l_returnflag)) AS d FROM lineitem) GROUP BY 1")
+def mad_grouped(t):
+    return t("lineitem").group_by("l_returnflag").summarize(mad=L.mad(c.l_quantity))
+
+
+@query("SELECT event_type, max(r) FILTER (value = m AND r = f) AS hi FROM (SELECT *, min(CASE WHEN value = m THEN r END) OVER (PARTITION BY event_type) AS f FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, max(value) OVER (PARTITION BY event_type) AS m FROM events)) GROUP BY 1")
+def argmax_grouped(t):
+    return t("events", "event_id").group_by("event_type").summarize(hi=L.argmax(c.value))
+
+
+@query("SELECT o_orderstatus, count(*) AS k, round(count(*) / (SELECT count(*) FROM orders), 6) AS share FROM orders GROUP BY 1")
+def proprow_length(t):
+    return t("orders").group_by("o_orderstatus").summarize(k=L.length(c.o_orderkey), share=L.scalar_(lambda a: F.round(a, 6))(L.proprow()))
+
+
+@query("SELECT o_orderstatus, list_sort(list(DISTINCT o_orderpriority)) AS u FROM orders GROUP BY 1")
+def unique_values(t):
+    return t("orders").group_by("o_orderstatus").summarize(u=L.unique(c.o_orderpriority)).mutate(u=L.scalar_(F.sort_array)(c.u))
+
+
+@query("SELECT o_orderstatus, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1")
+def user_aggregate(t):
+    L.user_agg(lambda s: float(s.max() - s.min()), name="spread_of")
+    return t("orders").group_by("o_orderstatus").summarize(spread=parse("spread_of(o_totalprice)")).mutate(spread=L.scalar_(lambda a: F.round(a, 2))(c.spread))
+
+
+@query("SELECT s_suppkey, s_suppkey * 3 + 1 AS a, s_suppkey * 5 AS b FROM supplier")
+def user_functions(t):
+    return t("supplier").mutate(a=L.user_fn(lambda k: k * 3 + 1, "bigint")(c.s_suppkey), b=L.vectorized_fn(lambda s: s * 5, "bigint")(c.s_suppkey)).select("s_suppkey", "a", "b")
+
+
+@query("SELECT n_name, n_regionkey FROM nation")
+def select_not_positions(t):
+    return t("nation").select("n_nationkey", "n_name", "n_regionkey").select(-1)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def select_not_tuple(t):
+    return t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").select("!(o_custkey, o_orderstatus)")
+
+
+@query("SELECT o_custkey, o_totalprice FROM orders")
+def select_not_third(t):
+    return t("orders").select("o_custkey", "o_totalprice", "o_orderkey").select("!3")
+
+
+@query("SELECT l_quantity, l_tax FROM lineitem")
+def select_where_data(t):
+    few = t("lineitem").select("l_quantity", "l_extendedprice", "l_tax")
+    return few.select(S.where(lambda x: L.maximum(x) <= 50))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 10 AND 19")
+def filter_in_span(t):
+    return t("orders").filter(L.in_(c.o_custkey, range(10, 20))).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice * 3 AS x, round(pi() * o_custkey, 6) AS y FROM orders WHERE o_totalprice > 100000")
+def interpolation_constants(t):
+    return t("orders").filter(parse("o_totalprice > least_price", least_price=100000)).mutate(x=parse("o_totalprice * k", k=3), y=L.scalar_(lambda a: F.round(a, 6))(L.pi * c.o_custkey)).select("o_orderkey", "x", "y")
+
+
+@query('SELECT o_orderkey AS "order key", o_totalprice + 1 AS "price and one" FROM orders')
+def names_with_spaces(t):
+    return t("orders").rename(**{"order key": "o_orderkey"}).mutate(**{"price and one": c.o_totalprice + 1}).select("order key", "price and one")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 4) AS norm FROM embeddings")
+def comprehension(t):
+    return t("embeddings").mutate(norm=L.scalar_(lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 4))(L.transform(c.embedding, lambda x: x.cast("double") * x))).select("vec_id", "norm")
+
+
+@query("SELECT o_orderkey, x IS NULL AS gone, coalesce(x, -1) AS y FROM (SELECT o_orderkey, nullif(o_custkey, 7) AS x FROM orders)")
+def ismissing_coalesce(t):
+    return t("orders").mutate(x=L.missing_if(c.o_custkey, 7)).mutate(gone=L.ismissing(c.x), y=L.coalesce(c.x, -1)).select("o_orderkey", "gone", "y")
+
+
+@query("SELECT n_nationkey, n_name || '-' || n_regionkey AS s, trim(n_name) AS t, reverse(n_name) AS r, substring(n_name, 2, 3) AS m, lpad(n_name, 12, '.') AS p, replace(n_name, 'A', 'b') AS q FROM nation")
+def string_functions(t):
+    return t("nation").mutate(s=L.sprintf("%s-%d", c.n_name, c.n_regionkey), t=L.trim(c.n_name), r=L.reverse(c.n_name), m=L.substring(c.n_name, 2, 3), p=L.pad(c.n_name, 12, "."), q=L.replace(c.n_name, "A", "b")).select("n_nationkey", "s", "t", "r", "m", "p", "q")
+
+
+@query("SELECT s_suppkey, round(sqrt(s_suppkey), 6) AS a, round(exp(s_suppkey / 1000.0), 6) AS b, floor(s_acctbal)::BIGINT AS d, ceil(s_acctbal)::BIGINT AS e, round(ln(s_suppkey), 6) AS f, round(log2(s_suppkey), 6) AS g, sign(s_acctbal)::DOUBLE AS h FROM supplier WHERE s_suppkey > 0")
+def math_functions(t):
+    r6 = L.scalar_(lambda a: F.round(a, 6))
+    return t("supplier").filter(c.s_suppkey > 0).mutate(a=r6(L.sqrt(c.s_suppkey)), b=r6(L.exp(c.s_suppkey / 1000.0)), d=L.floor(c.s_acctbal), e=L.ceil(c.s_acctbal), f=r6(L.log(c.s_suppkey)), g=r6(L.log2(c.s_suppkey)), h=L.sign(c.s_acctbal)).select("s_suppkey", "a", "b", "d", "e", "f", "g", "h")
+
+
+@query("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS o_totalprice_mean_skipmissing FROM orders GROUP BY 1")
+def across_composed(t):
+    return t("orders").group_by("o_orderstatus").summarize(L.across("o_totalprice", L.compose(L.mean, L.skipmissing))).mutate(o_totalprice_mean_skipmissing=r4(c.o_totalprice_mean_skipmissing))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def rand_range(t):
+    return t("orders").mutate(u=L.rand(1)).filter(c.u >= 0, c.u < 1).summarize(n=L.n())
+
+
+@query("SELECT a.k, a.v, b.w FROM (SELECT DISTINCT nullif(n_regionkey, 2) AS k, n_regionkey AS v FROM nation) a JOIN (SELECT nullif(r_regionkey, 2) AS k, r_regionkey AS w FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_na_matches(t):
+    left = t("nation").transmute(k=L.missing_if(c.n_regionkey, 2), v=c.n_regionkey).distinct()
+    return left.inner_join(t("region").transmute(k=L.missing_if(c.r_regionkey, 2), w=c.r_regionkey), by="k", na_matches=True)
+
+
+@query("SELECT n.n_nationkey, n.n_name AS name, r.r_name AS name_right FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def join_suffix(t):
+    left = t("nation").transmute(n_nationkey=c.n_nationkey, name=c.n_name, key=c.n_regionkey)
+    return left.inner_join(t("region").transmute(key=c.r_regionkey, name=c.r_name), by="key", suffix=("", "_right")).select("n_nationkey", "name", "name_right")
+
+
+@query("SELECT round(covar_samp(l_quantity, l_extendedprice), 4) AS x FROM lineitem")
+def covariance(t):
+    return t("lineitem").summarize(x=r4(L.cov(c.l_quantity, c.l_extendedprice)))
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def pipe_aside(t):
+    seen = []
+    return t("nation").aside(lambda f: seen.append(f.ncol())).pipe(lambda f, key: f.count(key), "n_regionkey")
