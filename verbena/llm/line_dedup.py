@@ -247,8 +247,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a column of its own, so that the lambda doesn't split the text for each line
     joined = joined.withColumn(lines, F.when(changed, F.split("text", "\n", -1)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers)), lambda i: F.get(lines, i))
-    joined = joined.withColumn(new, F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
-    joined = joined.where(~(changed & (F.length(F.trim(F.regexp_replace(new, "[\\t\\n\\x0B\\f\\r]", " "))) == 0)))
+    # a generator makes the new text once, and no text where nothing is left; a filter would make it again
+    blank = lambda t: F.length(F.trim(F.regexp_replace(t, "[\\t\\n\\x0B\\f\\r]", " "))) == 0
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    joined = joined.withColumn(new, F.explode(F.filter(F.array(text), lambda t: ~(changed & blank(t)))))
     out = []
     for c in docs.columns:
         if c == "text":
