@@ -31,6 +31,7 @@ bytes (one file, of fixed size) are broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -188,9 +189,10 @@ class Decoder:
         return pc.if_else(missing, pa.scalar(None, pa.string()), text)
 
 
-_ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("chunks", pa.binary()), ("which", pa.binary()), ("texts", pa.binary())])
-_ANSWERS = pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("made", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary()), ("which", pa.binary()), ("texts", pa.binary())])
-_ANSWERS_DDL = "batch bigint, part int, made bigint, counts binary, ids binary, which binary, texts binary"
+_ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("seal", pa.binary()), ("chunks", pa.binary())])
+_PLACES = pa.schema([("batch", pa.int64()), ("seal", pa.binary()), ("which", pa.binary()), ("texts", pa.binary())])
+_ANSWERS = pa.schema([("batch", pa.int64()), ("part", pa.int32()), ("seal", pa.binary()), ("made", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary())])
+_ANSWERS_DDL = "batch bigint, part int, seal binary, made bigint, counts binary, ids binary"
 
 
 def _small(cell: bytes) -> bytes:
@@ -202,8 +204,13 @@ def _large(cell: bytes) -> bytes:
     return pa.decompress(cell[8:], int.from_bytes(cell[:8], "big"), codec="zstd", asbytes=True)
 
 
-def _asked(parts: int):
-    """Texts -> each batch's distinct chunks by part, and its doc_ids, sizes and places with one of the parts."""
+def _asked(parts: int, places: bool):
+    """Texts -> each batch's distinct chunks by part or, with places, its doc_ids, sizes and words' places in the chunks.
+
+    The two are made by passes of their own, so that the places, which are most of the bytes,
+    are shuffled once.  A batch's seal is a digest of its chunks, by which _join() makes sure
+    that both passes saw the same batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -214,15 +221,18 @@ def _asked(parts: int):
             part = (span_hashes(raw, offsets[:-1], offsets[1:]) % np.uint64(parts)).astype(np.int64)
             by, bounds = split(part[rank], parts)
             by = rank[by]  # by part, in alphabetical order, which compresses best
-            place = np.empty(len(by), dtype=np.int64)
-            place[by] = np.arange(len(by))
-            texts = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int32)), pc.is_null(batch.column("text"))], names=["doc_id", "sizes", "missing"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, texts.schema) as writer:
-                writer.write_batch(texts)
-            yield rows(_ASKED, [(number % parts, number, None, _small(planes(place[which])), _small(sink.getvalue().to_pybytes()))])
-            words = words.take(pa.array(by)).to_pylist()
-            yield rows(_ASKED, [(p, number, _small(MARK.join(words[a:b]).encode()), None, None) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
+            seal = hashlib.md5(raw.tobytes() + offsets.tobytes()).digest()
+            if places:
+                place = np.empty(len(by), dtype=np.int64)
+                place[by] = np.arange(len(by))
+                texts = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int32)), pc.is_null(batch.column("text"))], names=["doc_id", "sizes", "missing"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, texts.schema) as writer:
+                    writer.write_batch(texts)
+                yield rows(_PLACES, [(number, seal, _small(planes(place[which])), _small(sink.getvalue().to_pybytes()))])
+            else:
+                words = words.take(pa.array(by)).to_pylist()
+                yield rows(_ASKED, [(p, number, seal, _small(MARK.join(words[a:b]).encode())) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
 
     return run
 
@@ -235,12 +245,9 @@ def _segment(model):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if r["chunks"] is None:
-                    out.append((r["batch"], -1, 0, None, None, r["which"], r["texts"]))
-                    continue
                 made = encoder.made
                 ids, counts = encoder.table(encoder.chunks(_large(r["chunks"]).decode().split(MARK)))
-                out.append((r["batch"], r["part"], encoder.made - made, _small(planes(counts)), _small(planes(ids)), None, None))
+                out.append((r["batch"], r["part"], r["seal"], encoder.made - made, _small(planes(counts)), _small(planes(ids))))
             yield rows(_ANSWERS, out)
         trim()
 
@@ -250,13 +257,15 @@ def _segment(model):
 def _join(model):
     """A batch's answers -> its documents with their ids and what these decode to."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         decoder = Decoder(processor(received(model)))
-        cells = sorted(table.to_pylist(), key=lambda r: r["part"])
-        texts = pa.ipc.open_stream(_large(cells[0]["texts"])).read_all()
-        cat = lambda k: np.concatenate([np.zeros(0, dtype=np.int64), *(unplanes(_large(r[k])).astype(np.int64) for r in cells[1:])])
+        own, cells = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["part"])
+        if any(r["seal"] != own["seal"] for r in cells):
+            raise RuntimeError("the texts changed between two passes; write them first")
+        texts = pa.ipc.open_stream(_large(own["texts"])).read_all()
+        cat = lambda k: np.concatenate([np.zeros(0, dtype=np.int64), *(unplanes(_large(r[k])).astype(np.int64) for r in cells)])
         counts = cat("counts")
-        ids = joined(cat("ids"), np.cumsum(counts) - counts, counts, unplanes(_large(cells[0]["which"])).astype(np.int64), np.asarray(texts["sizes"]).astype(np.int64), texts["missing"].combine_chunks())
+        ids = joined(cat("ids"), np.cumsum(counts) - counts, counts, unplanes(_large(own["which"])).astype(np.int64), np.asarray(texts["sizes"]).astype(np.int64), texts["missing"].combine_chunks())
         out = pa.table({"doc_id": texts["doc_id"], "ids": ids, "n_ids": pc.list_value_length(ids), "decoded": decoder.decode(ids)})
         trim()
         return out
@@ -275,11 +284,13 @@ def _whole(model):
     return run
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+
 def chunk_answers(docs: DataFrame, model) -> DataFrame:
     """The parts' answers to all batches; made sums to the number of distinct chunks."""
-    parts = parts_of(docs.sparkSession)
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    asked = own.mapInArrow(_asked(parts), "part int, batch bigint, chunks binary, which binary, texts binary")
+    asked = _own(docs).mapInArrow(_asked(parts_of(docs.sparkSession), False), "part int, batch bigint, seal binary, chunks binary")
     return asked.groupBy("part").applyInArrow(_segment(model), _ANSWERS_DDL)
 
 
@@ -290,8 +301,9 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     model = send(docs.sparkSession, content)
     result = f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_ids int, decoded string"
     if not splits(processor(content)):
-        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_whole(model), result)
-    return chunk_answers(docs, model).groupBy("batch").applyInArrow(_join(model), result)
+        return _own(docs).mapInArrow(_whole(model), result)
+    places = _own(docs).mapInArrow(_asked(parts_of(docs.sparkSession), True), "batch bigint, seal binary, which binary, texts binary")
+    return places.groupBy("batch").cogroup(chunk_answers(docs, model).groupBy("batch")).applyInArrow(_join(model), result)
 
 
 def decode(rows_: DataFrame, model_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
