@@ -698,10 +698,10 @@ def rand_range(t):
     return t("orders").mutate(u=L.rand(1)).filter(c.u >= 0, c.u < 1).summarize(n=L.n())
 
 
-@query("SELECT a.k, a.v, b.w FROM (SELECT DISTINCT nullif(n_regionkey, 2) AS k, n_regionkey AS v FROM nation) a JOIN (SELECT nullif(r_regionkey, 2) AS k, r_regionkey AS w FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
+@query("SELECT a.v, b.w FROM (SELECT DISTINCT nullif(n_regionkey, 2) AS k, n_regionkey AS v FROM nation) a JOIN (SELECT nullif(r_regionkey, 2) AS k, r_regionkey AS w FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_na_matches(t):
     left = t("nation").transmute(k=L.missing_if(c.n_regionkey, 2), v=c.n_regionkey).distinct()
-    return left.inner_join(t("region").transmute(k=L.missing_if(c.r_regionkey, 2), w=c.r_regionkey), by="k", na_matches=True)
+    return left.inner_join(t("region").transmute(k=L.missing_if(c.r_regionkey, 2), w=c.r_regionkey), by="k", na_matches=True).select("v", "w")
 
 
 @query("SELECT n.n_nationkey, n.n_name AS name, r.r_name AS name_right FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
