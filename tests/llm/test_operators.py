@@ -279,6 +279,74 @@ def test_packing_over_shards(spark, corpus):
     assert sorted(x for m in got.values() for x in m) == sorted(x for m in want.values() for x in m)
 
 
+def brute_searched(rows, every, answers=64, window=2048):
+    """Windows of (shard, seed): neighbours in the whole corpus for seeds divisible by every, then in the shard."""
+    units = sorted(((d, a, s, w[a : a + window]) for s, d, w in rows for a in range(0, len(w), window)), key=lambda u: u[:2])
+    n, mean = len(units), sum(len(u[3]) for u in units) / len(units)
+    tf = [collections.Counter(u[3]) for u in units]
+    df = collections.Counter(x for t in tf for x in t)
+    idf = {q: math.log(1 + (n - m + 0.5) / (m + 0.5)) for q, m in df.items() if m > 1}
+    score = lambda i, j: round(sum(idf[q] * tf[j][q] * 2.2 / (tf[j][q] + 1.2 * (0.25 + 0.75 * len(units[j][3]) / mean)) for q in tf[i] if q in tf[j] and q in idf), 3)
+    used, out = set(), {}
+
+    def take(i, near, room):
+        for _, j in near:
+            if j not in used and len(units[j][3]) <= room:
+                out[i].append(j)
+                used.add(j)
+                room -= len(units[j][3])
+        return room
+
+    def near(i, others, room):
+        return sorted((-x, j) for j in others if j != i and len(units[j][3]) <= room for x in [score(i, j)] if x > 0)
+
+    left = {}
+    for i, u in enumerate(units):
+        if u[0] % every == 0 and i not in used:
+            used.add(i)
+            out[i] = [i]
+            room = window - len(u[3])
+            left[i] = take(i, near(i, range(n), room)[:answers], room) if room else 0
+    for i, u in enumerate(units):
+        if left.get(i):
+            take(i, near(i, [j for j in range(n) if units[j][2] == u[2]], left[i]), left[i])
+    for i, u in enumerate(units):
+        if i not in used:
+            used.add(i)
+            out[i] = [i]
+            room = window - len(u[3])
+            if room:
+                take(i, near(i, [j for j in range(n) if units[j][2] == u[2]], room), room)
+    return {units[i][:2]: [units[j][:2] for j in own] for i, own in out.items()}
+
+
+def test_packing_searched(docs, none, corpus):
+    """Seeds divisible by every search all shards; every unit is in a pack, also those that no seed takes."""
+    assert packing.pack(none, every=50).count() == 0
+    placed = collections.Counter(d for r in packing.pack(docs, every=3).collect() for d in r.doc_ids)
+    assert placed[4] == 2 and placed[10] == 30 and not {5, 6, 7} & set(placed)
+    units = sum(-(-len(words(r.text)) // 2048) for r in corpus.collect())
+    for index_units, answers in ((2048, 64), (30, 64), (30, 3)):
+        shards = -(-units // index_units)
+        rows = [(r.s, r.doc_id, words(r.text)) for r in corpus.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("s")).collect()]
+        want = brute_searched(rows, 10, answers)
+        got = {(r.doc_ids[0], r.starts[0]): list(zip(r.doc_ids, r.starts)) for r in packing.pack(corpus, every=10, index_units=index_units, answers=answers).collect()}
+        assert sorted(x for m in got.values() for x in m) == sorted(x for m in want.values() for x in m)
+        pairs = lambda packs: {(s, x) for s, m in packs.items() for x in m}
+        assert len(pairs(got) & pairs(want)) >= 0.98 * len(pairs(want)), (index_units, answers)
+
+
+def test_packing_searched_sends_little(spark, corpus, monkeypatch):
+    """What reaches the driver from the search are the seeds' lists, whatever the number of shards."""
+    sent = []
+    keep = packing.by_part
+    monkeypatch.setattr(packing, "by_part", lambda *a: sent.append(packing.cut(keep(*a))) or sent[-1])
+    packing.pack(corpus, every=10, index_units=10, answers=4)
+    lists = sent[1].collect()  # the first is the corpus's frequencies
+    seeds = corpus.where("doc_id % 10 = 0").count()
+    assert 0 < sum(len(r.ask) // 8 for r in lists) <= 5 * 2 * seeds
+
+
 def test_hamming(spark):
     rng = np.random.RandomState(3)
     rows = [(i, rng.randn(24).tolist()) for i in range(120)] + [(200, None), (None, [1.0] * 24), (201, []), (202, [1.0, -1.0]), (203, [float("nan")] * 24), (5, [9.0] * 24)]
