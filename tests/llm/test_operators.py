@@ -59,6 +59,29 @@ def test_ngram_join_brute(corpus):
     assert got == want
 
 
+def test_ngram_classes(spark, docs, none, corpus):
+    """One row a document: its group and the number of its near copies, equal texts among them."""
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.classes(docs).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 8: (8, 1), 9: (8, 1)} | {i: (i, 0) for i in (4, 5, 6, 7, 10, 11)}
+    assert ngram_join.classes(none).count() == 0
+    rng = np.random.RandomState(5)
+    # short and long variants around the threshold, chains and false candidates
+    rows = [(i, " ".join(rng.choice([f"a{i % 9}b{k}" for k in range(3 + 4 * (i % 9))], 1 + rng.randint(3 + 5 * (i % 9))))) for i in range(150)]
+    rows += [(200 + i, " ".join(f"c{k if rng.rand() > 0.1 else rng.randint(900)}" for k in range(10 + 2 * (i // 20)))) for i in range(100)]
+    for df in (corpus, spark.createDataFrame(rows, "doc_id bigint, text string")):
+        texts = {r.doc_id: words(r.text) for r in df.select("doc_id", "text").collect()}
+        sets = {i: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set() for i, w in texts.items()}
+        near = {a: {b for b in sets if b != a and sets[a] and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])} for a in sets}
+        root = {i: i for i in sets}
+        while True:
+            after = {i: min([root[i], *(root[j] for j in near[i])]) for i in sets}
+            if after == root:
+                break
+            root = after
+        rows = ngram_join.classes(df).collect()
+        assert len(rows) == len(sets) and {r.doc_id: (r.class_id, r.links) for r in rows} == {i: (root[i], len(near[i])) for i in sets}
+
+
 def test_line_dedup_edges(docs, none):
     got = line_dedup.dedup_lines(docs)
     assert got.columns == docs.columns and line_dedup.dedup_lines(none).count() == 0
