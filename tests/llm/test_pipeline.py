@@ -2,11 +2,13 @@
 
 import math
 import re
+import weakref
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
-from verbena.llm import quality
+from verbena.llm import blobs, line_dedup, ngram_join, packing, pairs, quality
 from verbena.llm.blobs import cut
 
 
@@ -143,3 +145,50 @@ def test_run_on_an_empty_table(spark, data, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{data}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def python_in_one_task(plan):
+    """Pairs of Python nodes of a plan without an exchange between them: each needs a worker of its own in the same task."""
+    out, above = [], []
+    for line in plan.splitlines():
+        m = re.match(r"((?:   |:  )*(?:\+- |:- )?)(?:\*\(\d+\) )?(\w+)", line)
+        if not m:
+            continue
+        above = above[: len(m[1]) // 3] + [m[2]]
+        if re.search("InArrow|InPandas|EvalPython", m[2]):
+            for name in reversed(above[:-1]):
+                if "Exchange" in name:
+                    break
+                if re.search("InArrow|InPandas|EvalPython", name):
+                    out.append((name, m[2]))
+    return out
+
+
+def test_one_python_worker_a_task(spark, data, monkeypatch):
+    """An executor keeps each worker it ever needed at once, with its memory, so a task of any stage needs one."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    for m in (line_dedup, ngram_join, packing, pairs):
+        monkeypatch.setattr(m, "cut", seen)
+    for _, stage in corpus_pipeline.STAGES:
+        plans.append(stage(spark, docs, data)._jdf.queryExecution().executedPlan().toString())
+    assert sum("InArrow" in p for p in plans) >= 8
+    assert not [x for p in plans for x in python_in_one_task(p)]
+
+
+def test_memory_goes_back_when_a_map_ends(monkeypatch):
+    held, gone = [], []
+
+    def run(batches):
+        for _ in batches:
+            a = np.ones(1000)
+            held.append(weakref.ref(a))
+            yield len(a)
+
+    monkeypatch.setattr(blobs, "trim", lambda: gone.append(held[-1]() is None))
+    assert list(blobs.trimmed(run)(iter([1, 2]))) == [1000, 1000] and gone == [True]

@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blobs import ragged, received, send, sub_batches
+from .blobs import ragged, received, send, sub_batches, trimmed
 from .textops import lower, span_hashes, spans, string_bytes
 
 PER_LANGUAGE, LONGEST, MIN_MARGIN = 400, 5, 0.05
@@ -245,4 +245,4 @@ def _keep(model, min_margin: float):
 def keep_identified(docs: DataFrame, model: Model | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The documents that aren't rejected, columns as they are."""
     model = send(docs.sparkSession, model or train(docs))
-    return docs.mapInArrow(_keep(model, min_margin), docs.schema)
+    return docs.mapInArrow(trimmed(_keep(model, min_margin)), docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import Gather, by_part, cut, parts_of, ragged, rows, split, sub_batches, usable
+from .blobs import Gather, by_part, cut, parts_of, ragged, rows, split, sub_batches, trimmed, usable
 from .pairs import components, distinct_pairs, pair_blobs, pairs_of_runs, run_bounds, small, verify
 from .textops import code_points, lower, mix64, span_hashes
 
@@ -207,23 +207,24 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, broadcast_lines
     spark = docs.sparkSession
     texts = usable(docs, "text")
     parts = parts_of(spark)
-    bands = texts.select("text").mapInArrow(_bands(parts), "part int, keys binary, ids binary")
+    bands = texts.select("text").mapInArrow(trimmed(_bands(parts)), "part int, keys binary, ids binary")
     pairs = cut(distinct_pairs(by_part(bands, _band_pairs(parts), "part int, a binary, b binary")))
     active = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
     if active.count() <= broadcast_lines:
         wanted = spark.sparkContext.broadcast(np.sort(active.toPandas()["id"].to_numpy(dtype=np.int64)).tobytes())
-        items = texts.select("text").mapInArrow(_texts(wanted), "id bigint, line string")
+        items = texts.select("text").mapInArrow(trimmed(_texts(wanted)), "id bigint, line string")
     else:
-        items = texts.select("text").mapInArrow(_texts(None), "id bigint, line string").join(active, "id", "left_semi")
+        items = texts.select("text").mapInArrow(trimmed(_texts(None)), "id bigint, line string").join(active, "id", "left_semi")
     items = items.groupBy("id").agg(F.min("line").alias("line"))
-    return components(verify(pairs, items, _sets, _accept(threshold), "x bigint, y bigint", connect=True))
+    # written first: in one task with it, the forest of components would take a second Python worker, which an executor keeps
+    return components(cut(verify(pairs, items, _sets, _accept(threshold), "x bigint, y bigint", connect=True)))
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, numbers): the line numbers, from 0, that deduplication takes out of each document."""
     roots = similar_lines(docs, threshold)
     texts = usable(docs, "text")
-    lines = texts.mapInArrow(_occurrences, "line bigint, doc_id bigint, number int")
+    lines = texts.mapInArrow(trimmed(_occurrences), "line bigint, doc_id bigint, number int")
     # occurrences by component; most lines are their own
     lines = lines.join(roots.withColumnRenamed("id", "line"), "line", "left").select(F.coalesce("root", "line").alias("root"), "doc_id", "number")
     lines = lines.withColumn("o", F.struct("doc_id", "number")).select("root", "o")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import received, send, sub_batches
+from .blobs import received, send, sub_batches, trimmed
 from .textops import mix64, span_hashes, spans, string_bytes
 
 MAX_ROWS, TREES, DEPTH, BINS, RATE, MIN_GOOD = 20_000, 80, 5, 64, 0.15, 0.5
@@ -235,4 +235,4 @@ def _keep(forest, min_good: float):
 def keep_good(docs: DataFrame, labels: DataFrame, min_good: float = MIN_GOOD, forest: Forest | None = None) -> DataFrame:
     """The documents that aren't rejected, columns as they are."""
     forest = send(docs.sparkSession, forest or train(docs, labels))
-    return docs.mapInArrow(_keep(forest, min_good), docs.schema)
+    return docs.mapInArrow(trimmed(_keep(forest, min_good)), docs.schema)
