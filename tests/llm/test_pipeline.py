@@ -192,3 +192,24 @@ def test_memory_goes_back_when_a_map_ends(monkeypatch):
 
     monkeypatch.setattr(blobs, "trim", lambda: gone.append(held[-1]() is None))
     assert list(blobs.trimmed(run)(iter([1, 2]))) == [1000, 1000] and gone == [True]
+
+
+def test_small_clusters_share_blocks(spark, monkeypatch):
+    """A block of verify costs about a millisecond by itself; few pairs take few, and the components stay."""
+    text = lambda i, k: f"{i * i + 7:06d} line of cluster {i * 7919} about subject {i * 104729}, copy {k}"
+    docs = spark.createDataFrame([(3 * i + k, text(i, k)) for i in range(200) for k in range(3)], "doc_id bigint, text string")
+    placed = []
+
+    def seen(df):
+        out = cut(df)
+        if "block" in df.columns and "x" in df.columns:
+            placed.append(out)
+        return out
+
+    monkeypatch.setattr(pairs, "cut", seen)
+    assert line_dedup.similar_lines(docs).select("root").distinct().count() == 200
+    assert [r.doc_id % 3 for r in line_dedup.dedup_lines(docs).collect()] == [0] * 200
+    assert 1 <= placed[0].select("block").distinct().count() <= 4
+    monkeypatch.setattr(pairs, "SHARED", 16)
+    assert line_dedup.dedup_lines(docs).count() == 200
+    assert placed[-1].select("block").distinct().count() > 20

@@ -191,8 +191,11 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     hashes, line = shingles(points, offsets[:-1], offsets[1:])
     order = np.lexsort((hashes, line))
     hashes, line = hashes[order], line[order]
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    hashes, line = hashes[new], line[new]
     bounds = np.searchsorted(line, np.arange(len(offsets)))
-    return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    return [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _accept(threshold: float):
