@@ -213,3 +213,18 @@ def test_small_clusters_share_blocks(spark, monkeypatch):
     monkeypatch.setattr(pairs, "SHARED", 16)
     assert line_dedup.dedup_lines(docs).count() == 200
     assert placed[-1].select("block").distinct().count() > 20
+
+
+def test_units_of_a_shard_travel_together():
+    """A shard's units of several sub-batches are one blob, and the same units as in many."""
+    texts = [" ".join(f"word{i * k % 97}" for k in range(1, 2000)) for i in range(1, 301)]
+    table = pa.table({"doc_id": range(300), "shard": pa.array([i % 3 for i in range(300)], pa.int64()), "text": texts})
+    assert sum(map(len, texts)) > 3 * blobs.SUB_BATCH_BYTES
+    few, many = (pa.Table.from_batches(packing._units(2048, *flush)(iter(table.to_batches()))) for flush in ((), (1,)))
+    assert few.num_rows == 3 < many.num_rows
+    for k in range(3):
+        a, b = (packing.Shard(t.filter(pa.compute.equal(t["shard"], k))) for t in (few, many))
+        assert all(np.array_equal(getattr(a, name), getattr(b, name)) for name in ("doc", "start", "length", "mark", "unit", "term", "tf"))
+        terms, df = np.unique(a.term, return_counts=True)
+        told = packing._local_frequencies(1)(few.filter(pa.compute.equal(few["shard"], k))).to_pylist()[0]
+        assert np.array_equal(blobs.unpack_ids(told["terms"]), terms.astype(np.int64)) and np.array_equal(np.frombuffer(told["df"], dtype=np.uint32), df)
