@@ -370,6 +370,35 @@ def test_packing_searched_sends_little(spark, corpus, monkeypatch):
     assert 0 < sum(len(r.ask) // 8 for r in lists) <= 5 * 2 * seeds
 
 
+def test_packing_searched_ties(spark, monkeypatch):
+    """Lists that end among equal scores are whole after one search: a shard's ties come in the order of doc_id too."""
+    docs = spark.createDataFrame([(i, f"same words here and own{i % 2}") for i in range(400)], "doc_id bigint, text string")
+    tops, keep = [], packing._hits
+    monkeypatch.setattr(packing, "_hits", lambda sent, top, *a: tops.append(top) or keep(sent, top, *a))
+    got = {(r.doc_ids[0], r.starts[0]): list(zip(r.doc_ids, r.starts)) for r in packing.pack(docs, window=20, every=50, index_units=20, answers=30).collect()}
+    rows = [(r.s, r.doc_id, words(r.text)) for r in docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(20)).alias("s")).collect()]
+    want = brute_searched(rows, 50, 30, 20)
+    seeds = [(i, 0) for i in range(0, 400, 50)]
+    assert [got[i] for i in seeds] == [want[i] for i in seeds] and len(tops) == 1 and tops[0] < 31
+
+
+def test_packing_scores_of_like_asks():
+    """Each block of asks has a matrix of its own; the scores are those of the postings, whichever terms it holds."""
+    rng = np.random.default_rng(3)
+    held = rng.random((60, 90)) < np.linspace(0.02, 0.9, 60)[:, None]
+    term, unit = np.nonzero(held)
+    weight = rng.random(len(term)).astype(np.float32)
+    index = packing.Postings(held.sum(axis=1), unit.astype(np.int32), weight, np.ones(90, dtype=np.int64), np.arange(90))
+    whole = np.zeros((60, 90))
+    whole[term, unit] = weight
+    for asks in (1, 16, 37):
+        query = rng.random((asks, 60)) < 0.4
+        assert np.allclose(index.scores(*np.nonzero(query), asks), query @ whole, atol=1e-4)
+    # two languages: the asks of each stand together, in their former order
+    ask, code = np.array([0, 1, 2, 3, 0, 1, 2, 3]), np.array([0, 1, 0, 1, 2, 3, 4, 5])
+    assert packing.by_common_words(ask, code, 4, 2).tolist() == [0, 2, 1, 3]
+
+
 def test_hamming(spark):
     rng = np.random.RandomState(3)
     rows = [(i, rng.randn(24).tolist()) for i in range(120)] + [(200, None), (None, [1.0] * 24), (201, []), (202, [1.0, -1.0]), (203, [float("nan")] * 24), (5, [9.0] * 24)]
