@@ -273,6 +273,12 @@ def test_user_aggregate(abc):
     assert abc.summarize(x=v.user_agg(lambda s: float(s.max() - s.min()))(c.b)).rows() == [(4.0,)]
 
 
+def test_argmin_missing(spark):
+    """As in SQL's min_by: missing values are passed over; the first of ties counts."""
+    f = v.from_rows(spark, [("a", None), ("a", 2), ("a", 1), ("a", 1), ("a", 2), ("b", None)], "g string, x bigint")
+    assert sorted(f.group_by("g").summarize(lo=v.argmin(c.x), hi=v.argmax(c.x)).rows()) == [("a", 3, 2), ("b", None, None)]
+
+
 def test_names(spark):
     f = v.tidy(spark.createDataFrame([("x", 1)], ["my name", "my.age"]))
     assert f.mutate(z=c["my.age"] + 1).select("my name", "z").rows() == [("x", 2)]
