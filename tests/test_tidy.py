@@ -279,6 +279,30 @@ def test_argmin_missing(spark):
     assert sorted(f.group_by("g").summarize(lo=v.argmin(c.x), hi=v.argmax(c.x)).rows()) == [("a", 3, 2), ("b", None, None)]
 
 
+def test_grouped_aggregates_without_windows(spark):
+    """A grouped aggregate in mutate or filter is joined by the keys, missing and NaN ones too; no task sorts a whole group."""
+    from verbena.plans import context
+
+    nan = float("nan")
+    rows = [("a", 1.0, 1), (None, 1.0, 2), ("a", 1.0, 3), (None, nan, 4), (None, nan, None), ("b", -0.0, 5), ("b", 0.0, 7)]
+    f = v.from_rows(spark, rows, "g string, k double, x bigint").group_by("g", "k")
+    m = f.mutate(m=v.mean(c.x), s=v.sum_(v.skipmissing(c.x)), n=v.n(), u=v.n_distinct(c.x), share=v.proprow())
+    assert "Window" not in m.df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.g, str(abs(r.k)), r.x): (r.m, r.s, r.n, r.u, round(r.share * 7)) for r in m.ungroup().collect()}
+    assert got == {
+        ("a", "1.0", 1): (2.0, 4, 2, 2, 2), ("a", "1.0", 3): (2.0, 4, 2, 2, 2), (None, "1.0", 2): (2.0, 2, 1, 1, 1), (None, "nan", 4): (None, 4, 2, 2, 2),
+        (None, "nan", None): (None, 4, 2, 2, 2), ("b", "0.0", 5): (6.0, 12, 2, 2, 2), ("b", "0.0", 7): (6.0, 12, 2, 2, 2),
+    }
+    assert sorted(f.filter(c.x > v.minimum(c.x)).ungroup().pull("x")) == [3, 7]
+    assert m.columns == ["g", "k", "x", "m", "s", "n", "u", "share"]
+    few, context.FEW = context.FEW, 1  # beyond the bound the join is shuffled, with the same rows
+    try:
+        many = f.mutate(m=v.mean(c.x), s=v.sum_(v.skipmissing(c.x)), n=v.n(), u=v.n_distinct(c.x), share=v.proprow())
+    finally:
+        context.FEW = few
+    assert sorted(map(str, many.rows())) == sorted(map(str, m.rows()))
+
+
 def test_names(spark):
     f = v.tidy(spark.createDataFrame([("x", 1)], ["my name", "my.age"]))
     assert f.mutate(z=c["my.age"] + 1).select("my name", "z").rows() == [("x", 2)]
