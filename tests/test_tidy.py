@@ -303,6 +303,13 @@ def test_grouped_aggregates_without_windows(spark):
     assert sorted(map(str, many.rows())) == sorted(map(str, m.rows()))
 
 
+def test_mad_without_window(spark):
+    f = v.from_rows(spark, [("a", 1), ("a", 3), ("a", 9), (None, 2), (None, 4), ("b", None)], "g string, x bigint").group_by("g")
+    mad = f.summarize(d=v.mad(c.x))
+    assert "Window" not in mad.df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, mad.rows())) == ["('a', 2.0)", "('b', None)", "(None, 1.0)"]
+
+
 def test_names(spark):
     f = v.tidy(spark.createDataFrame([("x", 1)], ["my name", "my.age"]))
     assert f.mutate(z=c["my.age"] + 1).select("my name", "z").rows() == [("x", 2)]
