@@ -310,6 +310,27 @@ def test_mad_without_window(spark):
     assert sorted(map(str, mad.rows())) == ["('a', 2.0)", "('b', None)", "(None, 1.0)"]
 
 
+def _numbered_by(frame) -> list[str]:
+    return re.findall(r"row_number\(\) windowspecdefinition\((\w+)#", frame.df._jdf.queryExecution().analyzed().toString())
+
+
+def test_slice_sample_in_cells(spark):
+    """Rows are numbered inside cells of a group; whole shares, equal rows, maps and missing groups included."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("x"), F.create_map(F.lit("k"), F.col("id") % 5).alias("m"))
+    g = v.tidy(rows).group_by("g")
+    sample = g.slice_sample(prop=0.25)
+    assert _numbered_by(sample) and all(k.startswith("__verbena_b") for k in _numbered_by(sample))
+    assert sorted(map(str, sample.ungroup().count("g").rows())) == ["(0, 250)", "(1, 250)", "(None, 250)"]
+    assert sorted(map(str, g.slice_sample(n=1500).ungroup().count("g").rows())) == ["(0, 1000)", "(1, 1000)", "(None, 1000)"]
+    assert sample.columns == ["g", "x", "m"] and 300 < sample.ungroup().filter(c.x == 1).nrow() < 450
+    ids = v.tidy(spark.range(1000))
+    one, two = (set(ids.slice_sample(prop=0.3, seed=s).pull("id")) for s in (1, 2))
+    assert len(one) == len(two) == 300 and 50 < len(one & two) < 130
+    assert ids.slice_sample(prop=0.0).nrow() == 0 and ids.slice_sample(prop=1.0).nrow() == 1000
+
+
 def test_names(spark):
     f = v.tidy(spark.createDataFrame([("x", 1)], ["my name", "my.age"]))
     assert f.mutate(z=c["my.age"] + 1).select("my name", "z").rows() == [("x", 2)]
