@@ -331,6 +331,20 @@ def test_slice_sample_in_cells(spark):
     assert ids.slice_sample(prop=0.0).nrow() == 0 and ids.slice_sample(prop=1.0).nrow() == 1000
 
 
+def test_slice_sample_replace_in_cells(spark, monkeypatch):
+    """Draws are made in spans, any number of them, and fall on all rows of their group."""
+    from verbena.operators import rows
+
+    monkeypatch.setattr(rows, "_SPAN", 64)
+    g = v.from_rows(spark, [("a", i) for i in range(50)] + [(None, i) for i in range(7)], "g string, x bigint").group_by("g")
+    drawn = g.slice_sample(n=300, replace=True)
+    assert all(k.startswith("__verbena_b") for k in _numbered_by(drawn))
+    by = {r.g: (r.n, r.k) for r in drawn.ungroup().group_by("g").summarize(n=v.n(), k=v.n_distinct(c.x)).collect()}
+    assert {k: n for k, (n, _) in by.items()} == {"a": 300, None: 300} and by["a"][1] > 40 and by[None][1] == 7
+    assert sorted(map(str, g.slice_sample(prop=2.5, replace=True).ungroup().count("g").rows())) == ["('a', 125)", "(None, 17)"]
+    assert g.slice_sample(prop=0.01, replace=True).nrow() == 0
+
+
 def test_names(spark):
     f = v.tidy(spark.createDataFrame([("x", 1)], ["my name", "my.age"]))
     assert f.mutate(z=c["my.age"] + 1).select("my name", "z").rows() == [("x", 2)]
