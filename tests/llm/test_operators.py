@@ -602,3 +602,37 @@ def test_components(spark):
     want = {n: find(n) for n in root if find(n) != n}
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "x bigint, y bigint").repartition(4)).collect()}
     assert got == want
+
+
+def test_large_cluster_makes_each_pair_about_once():
+    """Lists of a large cluster are multiplied, not paired gram by gram: no true pair is lost, and few are made again."""
+    from verbena.llm import ngram_join as N
+
+    rng = np.random.default_rng(3)
+    base = rng.permutation(400).astype(np.uint64)
+    sets = []
+    for k in range(300):
+        own = base.copy()
+        own[rng.integers(0, 400, 25)] = 1000 + rng.integers(0, 60, 25).astype(np.uint64) if k < 200 else 5000 + np.arange(25, dtype=np.uint64) + np.uint64(25 * k)
+        sets.append(np.unique(own) if k < 280 else np.unique(own)[:250])
+    # the global order, rare first; all grams but the lone ones are listed
+    count = dict(zip(*np.unique(np.concatenate(sets), return_counts=True)))
+    sets = [np.array(sorted(s, key=lambda g: (count[g], g)), dtype=np.uint64) for s in sets]
+    size = [len(s) for s in sets]
+    lone = [sum(count[g] == 1 for g in s) for s in sets]
+    first = [min(n, int(N.prefix_length(np.array([n]), 0.5)[0]) + N.MEET - 1) for n in size]
+    batch = pa.RecordBatch.from_pydict({"group": list(range(300)), "size": size, "lone": lone, "prefix": [N.pack_keys(s[a:f], 5) for s, a, f in zip(sets, lone, first)]})
+    parts, blobs = 3, list(N._prefix_lists(4, 5)([batch]))
+    pairs = [x for k in range(4) for x in N._group_pairs(parts, 0.5, 5)(iter([b.filter(pa.compute.equal(b["part"], k)) for b in blobs]))]
+    table = pa.Table.from_batches(pairs)
+    long = table.filter(pa.compute.is_valid(table["places"]))
+    assert long.num_rows and all(len(c.as_py()) > 8 * N.LONG for c in long["a"])
+    made = table.filter(pa.compute.is_null(table["places"])).to_batches()
+    for k in range(parts):
+        made += N._cluster_pairs(parts, 0.5)(iter(long.filter(pa.compute.equal(long["part"], k)).to_batches()))
+    made = pa.Table.from_batches(made)
+    found = [(x, y) for k in range(parts) for b in N._meeting(iter(made.filter(pa.compute.equal(made["part"], k)).to_batches())) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist())]
+    assert len(found) == len(set(found))
+    near = {(i, j) for i in range(300) for j in range(i + 1, 300) if 3 * len(np.intersect1d(sets[i], sets[j])) >= size[i] + size[j]}
+    assert len(near) > 30_000 and near <= set(found)
+    assert sum(len(c.as_py()) for c in made["count"]) < 6 * len(found)
